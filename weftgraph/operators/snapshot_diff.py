@@ -41,7 +41,7 @@ def comparable_properties(properties: Column, ignored: Sequence[str] = BOOKKEEPI
 def snapshot_rows(snapshots: DataFrame, keep_properties: bool = False) -> DataFrame:
     """One row for each id of a snapshot: the copy loaded last; among copies loaded at once, one chosen by a hash of the content.
 
-    Identity is reduced to hashes of 64 bits a stage key and 128 bits of content. Rows without user_id,
+    Identity and content are reduced to hashes of 64 bits, which are only ever compared within one pair of snapshots. Rows without user_id,
     transform_id, seq_no or id belong to no snapshot and are left out.
     """
     cid = _filled(F.col("canonical_id"), F.col("properties")["canonical_id"])
@@ -53,12 +53,11 @@ def snapshot_rows(snapshots: DataFrame, keep_properties: bool = False) -> DataFr
         F.when(F.col("type").isNotNull() & F.col("cid").isNotNull(), F.xxhash64(F.lit("c"), "type", "cid")).alias("k1"),
         F.when(F.col("type").isNotNull() & F.col("ckey").isNotNull(), F.xxhash64(F.lit("k"), "type", "ckey")).alias("k2"),
         F.col("cid").isNotNull().alias("has_cid"),
-        F.col("h1"),
-        F.col("h2"),
+        F.col("h"),
         *([F.col("props"), F.col("cid")] if keep_properties else []),
     )
-    rows = rows.withColumn("h1", F.xxhash64("props")).withColumn("h2", F.xxhash64(F.lit(7), "props"))
-    last = F.max_by(kept, F.struct("loaded_at", "h1", "h2"))
+    rows = rows.withColumn("h", F.xxhash64("props"))
+    last = F.max_by(kept, F.struct("loaded_at", "h"))
     return rows.groupBy("user_id", "transform_id", "id").agg(F.max("seq_no").alias("seq_no"), last.alias("r")).select("user_id", "transform_id", "seq_no", "id", "r.*")
 
 
@@ -79,37 +78,32 @@ def _chunked(rows: DataFrame, slice_bits: int, chunk_rows: int) -> DataFrame:
 
 
 def unmatched_rows(snapshots: DataFrame, chunk_rows: int = CHUNK_ROWS, keep_properties: bool = False) -> DataFrame:
-    """Rows of the chunks that differ, once a side: (pair, side 'b' or 'c', id, stage keys, content hashes).
+    """Rows of the chunks that differ, once a side: (pair, side 'b' or 'c', id, stage keys, content hash).
 
     ``pair`` is the compare transform. The number of slices follows the number of rows, so that no task
-    sorts more than about SLICE_ROWS of one snapshot however large a user is.
+    sorts more than about SLICE_ROWS of one snapshot however large a user is. Only the digests are compared across
+    snapshots; the rows are met where they lie, by the list of chunks that differ.
     """
     total = snapshots.select("id").count()
     slice_bits = max(0, math.ceil(math.log2(max(1, total) / SLICE_ROWS)))
-    pairs = transform_pairs(snapshots)
-    rows = _chunked(snapshot_rows(snapshots, keep_properties), slice_bits, chunk_rows).join(pairs, ["user_id", "transform_id"]).drop("seq_no")
+    rows = _chunked(snapshot_rows(snapshots, keep_properties), slice_bits, chunk_rows).drop("seq_no")
     # In chunks, an id counts only where nothing else identifies the record: ids need not be stable.
-    row_hash = F.xxhash64("identity", "h1", "k2", F.when(F.col("k1").isNull() & F.col("k2").isNull(), F.col("id")))
-    other_hash = F.xxhash64(F.lit(11), "identity", "h2", "k2")
-    digests = (
-        rows.withColumn("row_hash", row_hash)
-        .withColumn("other_hash", other_hash)
-        .groupBy("user_id", "transform_id", "slice", "chunk")
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor("row_hash").alias("x"), F.sum(F.col("other_hash").cast("decimal(38,0)")).alias("s"), F.first("before").alias("before"), F.first("after").alias("after"))
-    )
-    digest = ["user_id", "slice", "chunk", "n", "x", "s"]
-    same = (
-        digests.where("before is not null")
-        .withColumn("pair", F.col("transform_id"))
-        .join(digests.where("after is not null").withColumn("pair", F.col("after")).select(*digest, "pair"), [*digest, "pair"])
-        .select("user_id", "pair", "slice", "chunk")
-    )
-    sides = F.filter(
+    row_hash = F.xxhash64("identity", "h", "k2", F.when(F.col("k1").isNull() & F.col("k2").isNull(), F.col("id")))
+    at = ["user_id", "transform_id", "slice", "chunk"]
+    digests = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row_hash).alias("x"), F.sum(F.xxhash64(row_hash, F.lit(11)).cast("decimal(38,0)")).alias("s")).join(transform_pairs(snapshots), ["user_id", "transform_id"])
+    roles = F.filter(
         F.array(F.struct(F.lit("c").alias("side"), F.when(F.col("before").isNotNull(), F.col("transform_id")).alias("pair")), F.struct(F.lit("b").alias("side"), F.col("after").alias("pair"))),
-        lambda s: s["pair"].isNotNull(),
+        lambda r: r["pair"].isNotNull(),
+    )
+    compared = digests.withColumn("r", F.explode(roles)).select(*at, "n", "x", "s", "r.side", "r.pair")
+    # A chunk that both sides have with one digest is left out; the others are listed with the transforms that hold them.
+    holders = compared.groupBy("user_id", "pair", "slice", "chunk").agg(
+        *(f(F.when(F.col("side") == side, F.struct("transform_id", "n", "x", "s"))).alias(side) for f, side in ((F.max, "b"), (F.max, "c")))
     )
-    both = rows.withColumn("s", F.explode(sides)).select("user_id", "id", "k1", "k2", "has_cid", "h1", "h2", "slice", "chunk", "s.side", "s.pair", *(["props", "cid"] if keep_properties else []))
-    return both.join(same, ["user_id", "pair", "slice", "chunk"], "left_anti").drop("slice", "chunk")
+    same = F.col("b.n").eqNullSafe(F.col("c.n")) & F.col("b.x").eqNullSafe(F.col("c.x")) & F.col("b.s").eqNullSafe(F.col("c.s"))
+    sides = F.filter(F.array(*(F.struct(F.lit(side).alias("side"), F.col(f"{side}.transform_id").alias("transform_id")) for side in ("b", "c"))), lambda r: r["transform_id"].isNotNull())
+    differing = holders.where(~same).select("user_id", "pair", "slice", "chunk", F.explode(sides).alias("r")).select("user_id", "pair", "slice", "chunk", "r.side", "r.transform_id")
+    return rows.join(differing, at).select("user_id", "pair", "side", "id", "k1", "k2", "has_cid", "h", *(["props", "cid"] if keep_properties else []))
 
 
 def _meet(rows: DataFrame, key: Column, slots: Column | None = None) -> DataFrame:
@@ -134,21 +128,23 @@ def match_stages(rows: DataFrame) -> DataFrame:
     """Matches base and compare rows: equal type and canonical id, then type and canonical key unless both have a
     canonical id, then id. Of several rows with one key, those of equal id are paired first, then by order of id.
 
-    Returns (user_id, pair, b, c); b or c is null for a row without partner.
+    Returns (user_id, pair, b, c); b or c is null for a row without partner. Matched rows of equal content are dropped
+    after each stage, so that later stages shuffle little.
     """
+    differing = F.col("b").isNull() | F.col("c").isNull() | (F.col("b.h") != F.col("c.h"))
     payload = F.struct(*(c for c in rows.columns if c not in ("user_id", "pair", "side")))
     start = rows.select("user_id", "pair", F.when(F.col("side") == "b", payload).alias("b"), F.when(F.col("side") == "c", payload).alias("c"))
     row, group = F.coalesce("b", "c"), ["user_id", "pair", "_key", "_own"]
     # Stage 1. Rows of equal id on both sides come first and so get equal slots.
-    one = _meet(start, row["k1"], F.row_number().over(Window.partitionBy(*group, "_base").orderBy(F.col("_twin").desc(), "_id")))
+    one = _meet(start, row["k1"], F.row_number().over(Window.partitionBy(*group, "_base").orderBy(F.col("_twin").desc(), "_id"))).where(differing)
     # Stage 2. Slots are dealt so that two rows with a canonical id never meet and as many as possible match.
     w = Window.partitionBy(*group)
     b0, c1 = F.count(F.when(F.col("_base") & ~F.col("_cid"), 1)).over(w), F.count(F.when(~F.col("_base") & F.col("_cid"), 1)).over(w)
     place = F.row_number().over(Window.partitionBy(*group, "_base", "_cid").orderBy(F.col("_twin").desc(), "_id"))
     shift = F.when(F.col("_base") & F.col("_cid"), F.greatest(b0, c1)).when(~F.col("_base") & ~F.col("_cid"), c1).otherwise(F.lit(0))
-    two = _meet(one, row["k2"], place + shift)
+    two = _meet(one, row["k2"], place + shift).where(differing)
     # Stage 3. An id occurs once a side.
-    return _meet(two, row["id"])
+    return _meet(two, row["id"]).where(differing)
 
 
 def snapshot_changes(snapshots: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -162,8 +158,8 @@ def snapshot_changes(snapshots: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Data
 
 
 def _kinds(matched: DataFrame) -> DataFrame:
-    kind = F.when(F.col("b").isNull(), "added").when(F.col("c").isNull(), "removed").when((F.col("b.h1") != F.col("c.h1")) | (F.col("b.h2") != F.col("c.h2")), "changed")
-    return matched.withColumn("change_kind", kind).where("change_kind is not null").withColumn("transform_id", F.col("pair")).withColumn("node_id", F.coalesce("c.id", "b.id"))
+    kind = F.when(F.col("b").isNull(), "added").when(F.col("c").isNull(), "removed").otherwise("changed")
+    return matched.withColumn("change_kind", kind).withColumn("transform_id", F.col("pair")).withColumn("node_id", F.coalesce("c.id", "b.id"))
 
 
 def property_changes(snapshots: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import components, matching
+from weftgraph.llm import components, matching, text_quality
 from weftgraph.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,13 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_nodes = matching.unmatched_report(table(spark, sf_dir, "graph_nodes"), "type_", table(spark, sf_dir, "entity_types"), "entity_type", "node")
     of_edges = matching.unmatched_report(table(spark, sf_dir, "graph_edges"), "relationship", table(spark, sf_dir, "rel_types"), "rel_type", "edge", verbs=True)
     return of_nodes.unionByName(of_edges)
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.not_prose(table(spark, sf_dir, "documents"))
+
+
+@query("p8_statistics")
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.statistics_report(table(spark, sf_dir, "documents"))

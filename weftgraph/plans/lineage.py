@@ -1,25 +1,37 @@
-"""Cutting lineage of iterative plans with files that every executor can reach."""
+"""Cutting lineage of iterative plans with tables that every executor can reach."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set."""
+    """The cluster's shared checkpoint folder; a folder of our own only where none is set, as in tests."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="weftgraph-checkpoint-")
         context.setCheckpointDir(named)
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(named)
     return named
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{checkpoint_dir(spark)}/weftgraph-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder. Survives lost executors, unlike a local checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder and read back. Survives lost executors, unlike a local checkpoint."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table written here that no plan reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

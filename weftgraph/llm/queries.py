@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import components, matching, text_quality
+from weftgraph.llm import components, matching, mixing, packing, text_quality
+from weftgraph.plans.lineage import cut
 from weftgraph.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,28 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_statistics")
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality.statistics_report(table(spark, sf_dir, "documents"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted once and cut into the shared folder: an id, a source and a number each."""
+    return cut(mixing.with_tokens(table(spark, sf_dir, "documents")))
+
+
+@query("p6_pack")
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_containers(_tokens(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+@query("p6_report")
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p6_pack(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+@query("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(_tokens(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p7_report")
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import components, matching, mixing, packing, text_quality
+from weftgraph.llm import components, linkage, matching, mixing, packing, text_quality
 from weftgraph.plans.lineage import cut
 from weftgraph.sources import table
 
@@ -69,6 +69,16 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality.statistics_report(table(spark, sf_dir, "documents"))
 
 
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.same_entity_pairs(table(spark, sf_dir, "expected_nodes"))
+
+
+@query("p5_entities")
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.entity_sizes(table(spark, sf_dir, "expected_nodes"))
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted once and cut into the shared folder: an id, a source and a number each."""
     return cut(mixing.with_tokens(table(spark, sf_dir, "documents")))

@@ -1,28 +1,13 @@
-"""Queries of the core library: name, callable (spark, sf_dir), and DuckDB SQL where SQL can say it."""
+"""Queries of the core library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.operators import references, snapshot_diff
+from weftgraph.registry import ORACLE, QUERIES, query
 from weftgraph.sources import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
 _SNAPSHOT_CTE = """
 with copies as (select *, row_number() over (partition by user_id, transform_id, id order by loaded_at desc) as rn from node_snapshots
   where user_id is not null and transform_id is not null and seq_no is not null and id is not null),
@@ -92,3 +77,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p4_report", _ORPHAN_CTE + "select table_name, field_name, ref_month, reason, count(*) as n_references from cases group by all")
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(*(table(spark, sf_dir, t) for t in ("graph_edges", "claims", "graph_nodes", "production_nodes")))
+
+
+from weftgraph import queries_graph, queries_quality, queries_resolution, queries_text  # noqa: E402,F401

@@ -68,7 +68,8 @@ def orphan_references(
     if match not in ("simple", "full", "partial"):
         raise ValueError(f"match must be simple, full or partial, not {match!r}")
     names = [f"_k{i}" for i in range(len(reference_columns))]
-    refs = references.withColumns(dict(zip(names, map(F.col, reference_columns))))
+    # The caller's columns travel as one, so that none can clash with those used here.
+    refs = references.select(F.struct(*(F.col(f"`{c}`") for c in references.columns)).alias("_row"), *(F.col(r).alias(n) for n, r in zip(names, reference_columns)), *([F.col(at).alias("_at")] if at else []))
     out: DataFrame | None = None
     for mask in product((False, True), repeat=len(names)):
         null, set_ = [n for n, m in zip(names, mask) if m], [n for n, m in zip(names, mask) if not m]
@@ -83,17 +84,18 @@ def orphan_references(
             there = targets.select(*(F.col(t).alias(n) for n, t in zip(names, target_columns) if n in set_), *([valid_from, valid_to] if at else []))
             for n in set_:
                 there = there.where(F.col(n).isNotNull())
-            found = _orphans(own, there, set_, at, valid_from, valid_to)
+            found = _orphans(own, there, set_, at is not None, valid_from, valid_to)
         out = found if out is None else out.unionByName(found)
-    return out.drop(*names)
+    kept = [F.col("_row")[c].alias(c) for c in references.columns if c != "reason"]
+    return out.select(*kept, "reason")
 
 
-def _orphans(refs: DataFrame, there: DataFrame, keys: Sequence[str], at: str | None, valid_from: str | None, valid_to: str | None) -> DataFrame:
-    salt_of = F.struct(*refs.columns) if not any(t.startswith(("map", "array<map")) for _, t in refs.dtypes) else F.monotonically_increasing_id()
-    if at is None:
+def _orphans(refs: DataFrame, there: DataFrame, keys: Sequence[str], timed: bool, valid_from: str | None, valid_to: str | None) -> DataFrame:
+    salt_of = F.to_json("_row") if "map<" in dict(refs.dtypes)["_row"] else F.col("_row")
+    if not timed:
         return salted_join(refs, there.distinct(), keys, "left_anti", salt_of).withColumn("reason", F.lit("missing"))
     line = lifetimes(there, keys, valid_from, valid_to).withColumnsRenamed({"state": "_state", "begins": "_begins", "ends": "_ends"})
-    when = F.col(at)
+    when = F.col("_at")
     during = (F.col("_begins").isNull() | (F.col("_begins") <= when)) & (F.col("_ends").isNull() | (when < F.col("_ends")))
     # A known key is in exactly one segment of its time line, so that the join repeats no reference.
     placed = salted_join(refs.where(when.isNotNull()), line, keys, "left", salt_of, during)

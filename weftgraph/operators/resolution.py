@@ -178,14 +178,14 @@ def _jaro_winkler(a: str, b: str) -> float:
     m = len(mine)
     if not m:
         return 0.0
-    swaps = sum(x != y for x, y in zip(mine, (b[j] for j in range(len(b)) if hit[j]))) / 2
+    swaps = sum(x != y for x, y in zip(mine, (b[j] for j in range(len(b)) if hit[j]))) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4]):
         if x != y:
             break
         prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro)
+    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
 def match_weight(levels: Mapping[str, tuple[Sequence[float], Sequence[float]]]) -> Column:

@@ -161,10 +161,10 @@ def clu_closure(spark: SparkSession, d: str) -> DataFrame:
     "jn_property_overlap",
     """with f as (select distinct id, type_ as type, e.key as k, lower(trim(e.value)) as v from (select id, type_, unnest(map_entries(properties)) as e from graph_nodes) where trim(e.value) <> ''),
 s as (select distinct p.id, p.type_ as type, e.key as k, lower(trim(e.value)) as v from (select id, type_, unnest(map_entries(properties)) as e from production_nodes) p where trim(e.value) <> ''),
-n as (select id, type, count(*) as n from f group by all) select f.id as query_id, s.id, count(*) as m, max(n.n) as n from f join s on s.type = f.type and s.k = f.k and s.v = f.v join n on n.id = f.id and n.type = f.type group by f.id, s.id having count(*) >= 2""",
+n as (select id, type, count(*) as n from f group by all) select f.id as query_id, s.id, count(*) as m, max(n.n) as n from f join s on s.type = f.type and s.k = f.k and s.v = f.v join n on n.id = f.id and n.type = f.type group by f.id, s.id having count(*) / max(n.n) >= 0.5""",
 )
 def jn_property_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return resolution.property_overlap(table(spark, d, "graph_nodes"), table(spark, d, "production_nodes"), 0.0).where("m >= 2").select("query_id", "id", "m", "n")
+    return resolution.property_overlap(table(spark, d, "graph_nodes"), table(spark, d, "production_nodes"), 0.5).select("query_id", "id", "m", "n")
 
 
 _SCORED = """a as (select distinct user_id, properties['canonical_id'] as k from expected_nodes where properties['canonical_id'] is not null), b as (select distinct user_id, canonical_id as k from node_snapshots where canonical_id is not null),

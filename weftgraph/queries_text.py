@@ -91,10 +91,11 @@ def txt_filenames(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "agg_daily_fill",
     """with d as (select unnest(generate_series(date '2024-01-01', date '2024-03-31', interval 1 day))::date as day), e as (select created_at::date as day, count(*) as n_documents, count(distinct user_id) as n_users from documents where created_at >= '2024-01-01' and created_at < '2024-04-01' group by 1)
-select d.day, coalesce(n_documents, 0) as n_documents, coalesce(n_users, 0) as n_users from d left join e on e.day = d.day""",
+select strftime(d.day, '%Y-%m-%d') as day, coalesce(n_documents, 0) as n_documents, coalesce(n_users, 0) as n_users from d left join e on e.day = d.day""",
 )
 def agg_daily_fill(spark: SparkSession, d: str) -> DataFrame:
-    return activity.daily(table(spark, d, "documents"), "created_at", "2024-01-01", "2024-03-31", F.count(F.lit(1)).alias("n_documents"), F.count_distinct("user_id").alias("n_users"))
+    out = activity.daily(table(spark, d, "documents"), "created_at", "2024-01-01", "2024-03-31", F.count(F.lit(1)).alias("n_documents"), F.count_distinct("user_id").alias("n_users"))
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("agg_percentiles", "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by event_type")

@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity, each with the target mixture of sources, by deficit round-robin.
 
-A window is one container. At its start every source's deficit grows by its share of the capacity; the sources take
-turns to place documents that fit their deficit and the room left, the largest first; what then remains of the room is
-filled with the largest documents that fit. Deficits carry from window to window, and from partition to partition:
+A window is one container. At its start every source's deficit grows by its share of the capacity; the turn goes to the
+source that is owed most, which places its largest document that fits, if that is not much smaller than what others have;
+a source that is owed nothing waits. When no owed source has such a document, the largest ones fill the room. Deficits carry from window to window, and from partition to partition:
 since a partition packs all its documents, what it hands on follows from sums, so partitions need not wait for each other.
 """
 
@@ -24,6 +24,8 @@ by_value(__name__)
 #: Tokens that one task packs at a time. A partition leaves at most about one container part empty.
 PARTITION_TOKENS = 8_000_000
 MAX_SPECS = 1000
+#: How small against the largest piece that fits an owed source's piece may be, and any source's when none is owed.
+NEAR_LARGEST, CLOSING = 0.5, 0.9
 PACKED_SCHEMA = "spec_id string, container_id string, position int, doc_id bigint, piece int, first_token bigint, tokens bigint"
 
 
@@ -73,7 +75,6 @@ def pack(pieces: Iterable[tuple[str, int, int]], capacity: int, weights: dict[st
             piece, at = piece + 1, at + capacity
         queue.add(tokens - at, (doc_id, piece, at))
     order = sorted(queues)
-    turn = 0
     while order:
         room, own = capacity, []
         for s, w in weights.items():
@@ -84,24 +85,19 @@ def pack(pieces: Iterable[tuple[str, int, int]], capacity: int, weights: dict[st
             doc_id, piece, at = queues[source].take(size)
             own.append((doc_id, piece, at, size))
             room -= size
-            deficits[source] -= size
-
-        for k in range(len(order)):
-            source = order[(turn + k) % len(order)]
-            queue = queues[source]
-            deficits.setdefault(source, 0.0)
-            while size := queue.largest(min(room, deficits[source])):
-                place(source, size)
-        # The room left goes to the source that is owed most, among the pieces that fill it best.
+            deficits[source] = deficits.get(source, 0.0) - size
+
+        # Turns go to the source that is owed most, as long as its piece is not much smaller than the largest that fits:
+        # small pieces are kept for the room that large ones leave.
         while True:
             fits = {s: queues[s].largest(room) for s in order}
             best = max(fits.values(), default=0)
             if not best:
                 break
-            source = max((s for s in order if fits[s] >= 0.9 * best), key=lambda s: (deficits[s], s))
+            owed = [s for s in order if fits[s] >= NEAR_LARGEST * best and deficits.get(s, 0.0) > 0]
+            source = max(owed or (s for s in order if fits[s] >= CLOSING * best), key=lambda s: (deficits.get(s, 0.0), s))
             place(source, fits[source])
         containers.append(own)
-        turn += 1
         order = [s for s in order if queues[s].sizes]
     return containers
 

@@ -33,8 +33,12 @@ def top_by(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFra
 
 def rolling_mean(events: DataFrame, by: str, at: str, value: str, seconds: int) -> DataFrame:
     """Adds the mean of the group's values over the last ``seconds`` up to each event."""
-    w = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("rolling", F.avg(value).over(w)).withColumn("n_rolling", F.count(value).over(w))
+    order = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp")))
+    # Two growing frames and a difference: each row is added once, whatever the length of the window.
+    upto, before = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -seconds * 1_000_000 - 1)
+    n = F.count(value).over(upto) - F.count(value).over(before)
+    total = F.sum(value).over(upto) - F.coalesce(F.sum(value).over(before), F.lit(0.0))
+    return events.withColumn("n_rolling", n).withColumn("rolling", F.when(F.col("n_rolling") > 0, total / F.col("n_rolling")))
 
 
 def smoothed(scores: Column, alpha: float = 0.3) -> Column:

@@ -69,25 +69,43 @@ def rule_pairs(records: DataFrame, rules: Sequence[Column]) -> DataFrame:
 MERSENNE = (1 << 31) - 1
 
 
-def minhash(grams: Column, n: int) -> Column:
-    """n minima of (a h + b) mod (2^31 - 1) over hashes that any engine can repeat: the first seven hex digits of md5."""
-    h = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("bigint"))
+def _coefficients(n: int) -> tuple[list[int], list[int]]:
+    """Fixed multipliers and offsets of the n hash functions."""
+    return [(k * 2 + 1) * 7919 % 65521 + 1 for k in range(n)], [(k + 1) * 104729 for k in range(n)]
 
-    def least(k: int) -> Column:
-        return F.array_min(F.transform(h, lambda x: (x * F.lit((k * 2 + 1) * 7919 % 65521 + 1) + F.lit((k + 1) * 104729)) % F.lit(MERSENNE)))
 
-    return F.array(*(least(k) for k in range(n)))
+def band_keys(grams: Sequence[str], n: int, rows: int, known: dict[str, int]) -> list[str]:
+    """One key for each band of ``rows`` minima of (a h + b) mod (2^31 - 1).
 
+    h is the first seven hex digits of a gram's md5, so that any engine can repeat the keys. known caches h.
+    """
+    import hashlib
+
+    import numpy as np
 
-def band_keys(signature: Column, n: int, rows: int) -> Column:
-    """One key for each band of ``rows`` minima."""
-    return F.array(*(F.substring(F.md5(F.concat_ws("|", F.lit(str(i)), *(signature[i * rows + r].cast("string") for r in range(rows)))), 1, 12) for i in range(n // rows)))
+    a, b = (np.array(x, np.int64) for x in _coefficients(n))
+    for g in grams:
+        if g not in known:
+            known[g] = int(hashlib.md5(g.encode()).hexdigest()[:7], 16)
+    h = np.array([known[g] for g in grams], np.int64)
+    least = ((h[:, None] * a + b) % MERSENNE).min(0)
+    return [hashlib.md5("|".join([str(i), *map(str, least[i * rows : (i + 1) * rows])]).encode()).hexdigest()[:12] for i in range(n // rows)]
 
 
 def banded(records: DataFrame, text: str, n: int = 20, rows: int = 5, gram: int = 3) -> DataFrame:
-    """(id, band): the LSH buckets of each record's text."""
-    signed = records.where(F.length(F.trim(F.col(text))) > 0).select("id", minhash(ngrams(F.col(text), gram), n).alias("s"))
-    return signed.select("id", F.explode(band_keys(F.col("s"), n, rows)).alias("band")).distinct()
+    """(id, band): the LSH buckets of each record's text. Grams are cut in the JVM, hashed in Arrow batches."""
+
+    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for pdf in batches:
+            if len(known) > 1_000_000:
+                known.clear()
+            keys = [band_keys(list(g), n, rows, known) for g in pdf["grams"]]
+            yield pd.DataFrame({"id": pdf["id"].repeat(n // rows), "band": [k for own in keys for k in own]})
+
+    kind = dict(records.dtypes)["id"]
+    cut_up = records.where(F.length(F.trim(F.col(text))) > 0).select("id", ngrams(F.col(text), gram).alias("grams"))
+    return cut_up.mapInPandas(bands, f"id {kind}, band string").distinct()
 
 
 def dot(a: Column, b: Column) -> Column:

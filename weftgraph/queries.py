@@ -79,4 +79,4 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(*(table(spark, sf_dir, t) for t in ("graph_edges", "claims", "graph_nodes", "production_nodes")))
 
 
-from weftgraph import queries_graph, queries_quality, queries_resolution, queries_text  # noqa: E402,F401
+from weftgraph import queries_cascade, queries_graph, queries_quality, queries_resolution, queries_text  # noqa: E402,F401

@@ -40,7 +40,7 @@ VOWELS = frozenset("aeiou")
 
 def distance_limit(length: int) -> int:
     """Edits allowed for a value of so many letters."""
-    return 0 if length <= 3 else 2 if length <= 8 else 3
+    return 0 if length <= 3 else 2 if length <= 10 else 3
 
 
 class LevenshteinAutomaton:
@@ -155,7 +155,10 @@ def skeleton(joined: str) -> str:
 
 
 def inflections(first: str) -> set[str]:
-    """Other forms of a verb that a relationship begins with, or of a noun: base, -s, -ed, -ing, plural."""
+    """Other forms of a verb that a relationship begins with: base, -s, -ed, -ing. A word that is not inflected is a noun
+    and has a plural only."""
+    if first not in BASE_FORMS and not first.endswith(("ing", "ed", "s")):
+        return {first, first + "s", first + "es", first[:-1] + "ies" if first.endswith("y") else first + "s"}
     bases = {BASE_FORMS.get(first, first), first}
     for ending in ("ing", "ied", "ies", "ed", "es", "s", "d"):
         if first.endswith(ending) and len(first) - len(ending) >= 2:

@@ -121,15 +121,18 @@ def packed_containers(tokens: DataFrame, specs: DataFrame, weights: DataFrame |
     parts = math.ceil(total / partition_tokens)
     items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)).cast("int"))
     sums = items.groupBy("part", "source").agg(F.sum("tokens").alias("t"))
-    # Window sums over (parts x sources) rows, no documents.
-    share = sums.groupBy("source").agg(F.sum("t").alias("w"))
-    if weights is not None:
-        share = weights.select(F.coalesce("source", F.lit("")).alias("source"), F.col("weight").alias("w"))
-    share = share.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy()))
-    of_parts = sums.groupBy("part").agg(F.sum("t").alias("part_t"))
-    grid = of_parts.join(F.broadcast(share)).join(sums, ["part", "source"], "left")
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = grid.withColumn("deficit", F.coalesce(F.sum(F.col("w") * F.col("part_t") - F.coalesce("t", F.lit(0))).over(before), F.lit(0.0))).select("part", "source", "w", "deficit")
+    # What a source is owed at the start of a partition: its weight times all tokens before, less its own before. Only
+    # rows of (partition, source) that occur are needed, since a source without documents there has nothing to place.
+    if weights is None:
+        share = sums.groupBy("source").agg((F.sum("t") / F.lit(float(total))).alias("w"))
+    else:
+        share = weights.select(F.coalesce("source", F.lit("")).alias("source"), (F.col("weight") / F.lit(float(weights.agg(F.sum("weight")).first()[0] or 1))).alias("w"))
+    earlier = lambda w: w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    of_parts = sums.groupBy("part").agg(F.sum("t").alias("part_t")).select("part", zero(F.sum("part_t").over(earlier(Window.partitionBy()))).alias("all_before"))
+    own_before = sums.select("part", "source", zero(F.sum("t").over(earlier(Window.partitionBy("source")))).alias("own_before"))
+    owed = own_before.join(of_parts, "part").join(share, "source", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    starts = owed.select("part", "source", "w", (F.col("w") * F.col("all_before") - F.col("own_before")).alias("deficit"))
     each = F.explode(F.array(*(F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.c).alias("capacity")) for r in wanted)))
 
     def fill(key: tuple, own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +147,8 @@ def packed_containers(tokens: DataFrame, specs: DataFrame, weights: DataFrame |
         return out.astype({"position": np.int32, "piece": np.int32})
 
     left = items.withColumn("s", each).select("part", "s.spec_id", "s.capacity", "doc_id", "source", "tokens").groupBy("part", "spec_id")
-    right = starts.withColumn("s", each).select((F.col("part") + 0).alias("part"), "s.spec_id", "source", "w", "deficit").groupBy("part", "spec_id")
+    # Columns that the left side has too are made anew, so that the two sides' can be told apart.
+    right = starts.withColumn("s", each).select((F.col("part") + 0).alias("part"), "s.spec_id", F.concat("source", F.lit("")).alias("source"), "w", "deficit").groupBy("part", "spec_id")
     return left.cogroup(right).applyInPandas(fill, PACKED_SCHEMA)
 
 

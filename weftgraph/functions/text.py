@@ -44,7 +44,7 @@ def canonical_value(
     if not preserve_case:
         v = F.lower(v)
     if strip_punctuation:
-        v = F.trim(F.regexp_replace(F.regexp_replace(v, r"[^\w\s]", " "), r"\s+", " "))
+        v = F.trim(F.regexp_replace(F.regexp_replace(v, r"(?U)[^\w\s]", " "), r"\s+", " "))
     if remove_non_alnum:
         v = F.trim(F.regexp_replace(v, "[^0-9a-zA-Z]+", " "))
     endings = [s.lower() for s in strip_suffixes] or (list(COMPANY_SUFFIXES) if strip_company_suffixes else [])

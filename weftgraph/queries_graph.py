@@ -41,11 +41,11 @@ def prj_company_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "prj_canonical_value",
-    r"""select id, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(label, '\s+', ' ', 'g'))), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) as canonical
-from expected_nodes where label is not null and regexp_full_match(label, '[ -~\s]*')""",
+    r"""select id, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(label, '\s+', ' ', 'g'))), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) as canonical
+from expected_nodes where label is not null""",
 )
 def prj_canonical_value(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "expected_nodes").where(F.col("label").rlike(r"^[ -~\s]*$"))
+    own = table(spark, d, "expected_nodes").where("label is not null")
     return own.select("id", text.canonical_value(F.col("label"), strip_punctuation=True).alias("canonical"))
 
 

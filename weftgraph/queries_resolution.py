@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text
@@ -67,7 +67,7 @@ def blk_minhash(spark: SparkSession, d: str) -> DataFrame:
 _PLANES = [[math.sin((p + 1) * (i + 1) * 0.7) for i in range(64)] for p in range(8)]
 
 
-@query("blk_hyperplane")
+@query("blk_hyperplane", "select vec_id, " + " || ".join(f"case when list_dot_product(embedding[1:64]::double[], {p}::double[]) >= 0 then '1' else '0' end" for p in _PLANES) + " as signature from embeddings")
 def blk_hyperplane(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", resolution.hyperplane_key(F.slice("embedding", 1, 64), _PLANES).alias("signature"))
 
@@ -86,29 +86,34 @@ def sim_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return near.withColumn("p", F.expr(w)).where("p <= 5").select("query_id", "vec_id", F.round("score", 6).alias("score"), resolution.similarity_level(F.col("score")).alias("level"))
 
 
+def _ascii(name: Column) -> Column:
+    """Engines differ in how they count letters outside ASCII, so each stands for one unknown letter."""
+    return F.regexp_replace(F.lower(F.trim(name)), "[^ -~]", "?")
+
+
 @query(
     "sim_edit_distance",
-    """with r as (select distinct id, user_id, lower(trim(properties['name'])) as nm, properties['affiliation'] as aff from expected_nodes where type = 'Person' and properties['affiliation'] is not null and trim(properties['name']) <> '')
-select a.id as a, b.id as b, levenshtein(a.nm, b.nm) as distance from r a join r b on a.user_id = b.user_id and a.aff = b.aff and a.id < b.id where levenshtein(a.nm, b.nm) < 5 and regexp_full_match(a.nm || b.nm, '[ -~]*') group by all""",
+    """with r as (select distinct id, user_id, regexp_replace(lower(trim(properties['name'])), '[^ -~]', '?', 'g') as nm, properties['affiliation'] as aff from expected_nodes where type = 'Person' and properties['affiliation'] is not null and trim(properties['name']) <> '')
+select a.id as a, b.id as b, levenshtein(a.nm, b.nm) as distance from r a join r b on a.user_id = b.user_id and a.aff = b.aff and a.id < b.id where levenshtein(a.nm, b.nm) < 5 group by all""",
 )
 def sim_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("properties")
-    r = table(spark, d, "expected_nodes").where("type = 'Person'").select("id", "user_id", F.lower(F.trim(p["name"])).alias("nm"), p["affiliation"].alias("aff")).where("nm <> '' and aff is not null").distinct()
+    r = table(spark, d, "expected_nodes").where("type = 'Person'").select("id", "user_id", _ascii(p["name"]).alias("nm"), p["affiliation"].alias("aff")).where("nm <> '' and aff is not null").distinct()
     b = r.select("user_id", "aff", F.col("id").alias("b"), F.col("nm").alias("nm_b"))
-    met = r.join(b, ["user_id", "aff"]).where((F.col("id") < F.col("b")) & F.concat("nm", "nm_b").rlike("^[ -~]*$"))
+    met = r.join(b, ["user_id", "aff"]).where("id < b")
     return met.select(F.col("id").alias("a"), "b", F.levenshtein("nm", "nm_b").alias("distance")).where("distance < 5").distinct()
 
 
 @query(
     "sim_jaro_winkler",
-    """with r as (select distinct id, user_id, lower(trim(properties['name'])) as nm, properties['affiliation'] as aff from expected_nodes where type = 'Person' and properties['affiliation'] is not null and trim(properties['name']) <> '')
-select a.id as a, b.id as b, round(jaro_winkler_similarity(a.nm, b.nm), 5) as score from r a join r b on a.user_id = b.user_id and a.aff = b.aff and a.id < b.id where regexp_full_match(a.nm || b.nm, '[ -~]*') group by all""",
+    """with r as (select distinct id, user_id, regexp_replace(lower(trim(properties['name'])), '[^ -~]', '?', 'g') as nm, properties['affiliation'] as aff from expected_nodes where type = 'Person' and properties['affiliation'] is not null and trim(properties['name']) <> '')
+select a.id as a, b.id as b, round(jaro_winkler_similarity(a.nm, b.nm), 5) as score from r a join r b on a.user_id = b.user_id and a.aff = b.aff and a.id < b.id group by all""",
 )
 def sim_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("properties")
-    r = table(spark, d, "expected_nodes").where("type = 'Person'").select("id", "user_id", F.lower(F.trim(p["name"])).alias("nm"), p["affiliation"].alias("aff")).where("nm <> '' and aff is not null").distinct()
+    r = table(spark, d, "expected_nodes").where("type = 'Person'").select("id", "user_id", _ascii(p["name"]).alias("nm"), p["affiliation"].alias("aff")).where("nm <> '' and aff is not null").distinct()
     b = r.select("user_id", "aff", F.col("id").alias("b"), F.col("nm").alias("nm_b"))
-    met = r.join(b, ["user_id", "aff"]).where((F.col("id") < F.col("b")) & F.concat("nm", "nm_b").rlike("^[ -~]*$"))
+    met = r.join(b, ["user_id", "aff"]).where("id < b")
     return met.select(F.col("id").alias("a"), "b", F.round(resolution.jaro_winkler(F.col("nm"), F.col("nm_b")), 5).alias("score")).distinct()
 
 
@@ -118,17 +123,17 @@ _WEIGHT_SQL = " + ".join("coalesce([" + ", ".join(repr(math.log2(a / b)) for a,
 
 @query(
     "sim_match_weight",
-    f"""with r as (select distinct id, user_id, lower(trim(properties['name'])) as nm, properties['affiliation'] as aff, properties['city'] as c, properties['birth_year'] as y from expected_nodes where type = 'Person' and properties['affiliation'] is not null and trim(properties['name']) <> ''),
+    f"""with r as (select distinct id, user_id, regexp_replace(lower(trim(properties['name'])), '[^ -~]', '?', 'g') as nm, properties['affiliation'] as aff, properties['city'] as c, properties['birth_year'] as y from expected_nodes where type = 'Person' and properties['affiliation'] is not null and trim(properties['name']) <> ''),
 g as (select a.id as a, b.id as b, case when a.nm = b.nm then 0 when levenshtein(a.nm, b.nm) <= 2 then 1 else 2 end as g_name, case when a.c = b.c then 0 when a.c <> b.c then 1 end as g_city, case when a.y = b.y then 0 when a.y <> b.y then 1 end as g_year
-from r a join r b on a.user_id = b.user_id and a.aff = b.aff and a.id < b.id where regexp_full_match(a.nm || b.nm, '[ -~]*')), w as (select *, {_WEIGHT_SQL} as weight from g)
+from r a join r b on a.user_id = b.user_id and a.aff = b.aff and a.id < b.id), w as (select *, {_WEIGHT_SQL} as weight from g)
 select distinct a, b, round(weight, 5) as weight, round((pow(2, weight) * {0.01 / 0.99!r}) / (1 + pow(2, weight) * {0.01 / 0.99!r}), 5) as probability from w""",
 )
 def sim_match_weight(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("properties")
-    cols = {"nm": F.lower(F.trim(p["name"])), "aff": p["affiliation"], "c": p["city"], "y": p["birth_year"]}
+    cols = {"nm": _ascii(p["name"]), "aff": p["affiliation"], "c": p["city"], "y": p["birth_year"]}
     r = table(spark, d, "expected_nodes").where("type = 'Person'").select("id", "user_id", *(c.alias(k) for k, c in cols.items())).where("nm <> '' and aff is not null").distinct()
     b = r.select("user_id", "aff", F.col("id").alias("b"), *(F.col(k).alias(f"{k}_b") for k in ("nm", "c", "y")))
-    met = r.join(b, ["user_id", "aff"]).where((F.col("id") < F.col("b")) & F.concat("nm", "nm_b").rlike("^[ -~]*$"))
+    met = r.join(b, ["user_id", "aff"]).where("id < b")
     same = lambda k: F.when(F.col(k) == F.col(f"{k}_b"), 0).when(F.col(k) != F.col(f"{k}_b"), 1)
     gammas = met.select(F.col("id").alias("a"), "b", F.when(F.col("nm") == F.col("nm_b"), 0).when(F.levenshtein("nm", "nm_b") <= 2, 1).otherwise(2).alias("g_name"), same("c").alias("g_city"), same("y").alias("g_year"))
     w = gammas.withColumn("weight", resolution.match_weight(_LEVELS))

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a folder of our own only where none is set, as in tests."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="weftgraph-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     return named
 
 
 def new_path(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{checkpoint_dir(spark)}/weftgraph-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used. What is left there goes when the program ends."""
+    if not _written:
+        atexit.register(_clear)
+    _written.append(f"{checkpoint_dir(spark)}/weftgraph-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,3 +44,13 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clear() -> None:
+    """Deletes every table of this program, as far as its session still answers."""
+    spark = SparkSession.getActiveSession()
+    for path in _written if spark is not None else ():
+        try:
+            discard(spark, path)
+        except Exception:  # noqa: BLE001 (the session is ending; a folder that stays does no harm)
+            return

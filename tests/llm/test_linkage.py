@@ -1,4 +1,4 @@
-from weftgraph.llm.linkage import MinHash, bands_for, collision, padded_grams, same_entity_pairs
+from weftgraph.llm.linkage import BUCKET_NODES, MinHash, bands_for, candidate_pairs, collision, padded_grams, same_entity_pairs
 from weftgraph.llm.names import Form, canonical_form, edits, parse_organisation, parse_person, similarity
 
 COMMON = frozenset({"anthony", "abigail", "robert", "roberta", "logistics", "group", "systems", "university"})
@@ -52,3 +52,18 @@ def test_pairs(spark):
     got = {tuple(r) for r in same_entity_pairs(df).collect()}
     assert {p for p in got if p[0] in "12345678"} == {("1", "2"), ("1", "3"), ("2", "3")}
     assert same_entity_pairs(df.where("false")).count() == 0
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    n = 2 * BUCKET_NODES + 100
+    words = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("rn", "lk", "st", "mp", "nd", "rt", "sk", "lt", "nk", "rd", "ft", "lm", "pt", "xt", "ng")]
+    # One acronym for many organisations, and many people of one family name and initial.
+    rows = [("u", "Organization", "bxl|||A", False, "")] + [("u", "Organization", f"{w} x{w[::-1]}|logistics||F", True, "bxl") for w in words[:n]]
+    rows += [("u", "Person", f"yarvald|a{w}||F", True, "") for w in words[:n]]
+    df = spark.createDataFrame(rows, "user_id string, type string, form string, full boolean, acronym string").selectExpr("*", "xxhash64(type, form) as node")
+    pairs = candidate_pairs(df, 2)
+    kinds = df.select("node", "type", "form")
+    met = pairs.join(kinds.withColumnRenamed("node", "a"), "a").join(kinds.selectExpr("node as b", "form as form_b"), "b").cache()
+    assert met.where("type = 'Person'").count() == n * (n - 1) // 2
+    assert met.where("form = 'bxl|||A' or form_b = 'bxl|||A'").count() == n
+    assert pairs.where("a >= b").count() == 0

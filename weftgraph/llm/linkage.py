@@ -156,9 +156,8 @@ def _summary(members: DataFrame) -> DataFrame:
     )
 
 
-#: A band bucket with more nodes is split by further hashes of the same words.
+#: A bucket with more nodes is joined in blocks of about so many, each block with each.
 BUCKET_NODES = 400
-SPLIT_BANDS = 6
 
 
 def candidate_pairs(members: DataFrame, bands: int) -> DataFrame:
@@ -185,24 +184,33 @@ def candidate_pairs(members: DataFrame, bands: int) -> DataFrame:
             at = np.array(at, int)
             yield pd.DataFrame({"key": np.array(key, np.int64), "node": pdf["node"].to_numpy()[at], "full": (pdf["full"].to_numpy(bool) | acronyms)[at], "form_hash": form_hash[at]})
 
-    def finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = MinHash(SPLIT_BANDS, ROWS + 2)
-        for pdf in batches:
-            rows = [(_signed(_stable(f"{key}|{k}|{band}")), node, full, form_hash) for key, node, full, form_hash, text in pdf.itertuples(index=False) for word in Form.read(text).rare for k, band in enumerate(hashed.of(word))]
-            yield pd.DataFrame(rows, columns=["key", "node", "full", "form_hash"])
-
     bucket = "key long, node long, full boolean, form_hash long"
     keyed = cut(nodes.select("user_id", "type", "node", "form", "full", "acronym").mapInPandas(keys, bucket))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_NODES).select("key")
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_NODES)
+    left = right = keyed
     if crowded.take(1):
-        crowded = cut(crowded)
-        large = keyed.join(crowded, "key", "left_semi").join(nodes.groupBy("node").agg(F.first("form").alias("form")), "node").select("key", "node", "full", "form_hash", "form")
-        keyed = keyed.join(crowded, "key", "left_anti").unionByName(large.mapInPandas(finer, bucket))
-    other = keyed.select("key", F.col("node").alias("b"), F.col("full").alias("full_b"), F.col("form_hash").alias("form_b"))
-    met = keyed.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("full") | F.col("full_b") | (F.col("form_hash") == F.col("form_b"))))
+        left, right = _in_blocks(keyed, cut(crowded))
+    other = right.select("key", F.col("node").alias("b"), F.col("full").alias("full_b"), F.col("form_hash").alias("form_b"))
+    met = left.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("full") | F.col("full_b") | (F.col("form_hash") == F.col("form_b"))))
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
+def _in_blocks(keyed: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The smaller and the larger nodes of pairs, by key. A crowded key becomes one for each two of its blocks.
+
+    Blocks are ranges of the node's hash: the smaller node of a pair is in the same block as the larger or in one before.
+    """
+    blocks = F.ceil(F.col("n") / BUCKET_NODES)
+    place = F.floor((F.col("node") / 2.0**64 + 0.5) * F.col("blocks"))
+    large = keyed.join(crowded, "key").withColumn("blocks", blocks).withColumn("block", F.least(place, F.col("blocks") - 1))
+    rest = keyed.join(crowded, "key", "left_anti")
+    ahead = large.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    behind = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "block")))
+    sides = ((ahead, ("block", "other")), (behind, ("other", "block")))
+    left, right = (rest.unionByName(rows.withColumn("key", F.xxhash64("key", *cell)).select(rest.columns)) for rows, cell in sides)
+    return left, right
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 

@@ -51,3 +51,12 @@ def test_neighbours_tell_order_from_shuffle():
 def test_long_and_odd_texts():
     for t in ("x" * 200_000, "\n" * 5000, "a " * 100_000, "é" * 999, None):
         assert len(text_statistics(t, Neighbours())[2]) == 12
+
+
+def test_a_sentence_does_not_hide_a_table(spark):
+    table = "\n".join(f"{i}\t{i * 17 % 90}.25\t{i * 31 % 700}\t{i * 7 % 100} %" for i in range(20))
+    text = PROSE[1] + "\n\n" + table
+    lang, _, stats, chars, _ = text_statistics(text, Neighbours())
+    assert lang == "en" and chars["table"] > chars["prose"] > 0 and stats[9] > 0.5
+    df = spark.createDataFrame(docs() + [(2000, text, "x")], "doc_id bigint, text string, kind string")
+    assert {r.doc_id: r.kind for r in not_prose(df).collect()}.get(2000) == "table"

@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -22,8 +23,10 @@ COMMON_WORDS = {
 COMMON = {lang: frozenset(x for x in w.split() if len(x) > 1) for lang, w in COMMON_WORDS.items()}
 LANGUAGES = tuple(COMMON)
 ANY_COMMON = frozenset().union(*COMMON.values())
+LANGUAGES_OF = {w: tuple(lang for lang, common in COMMON.items() if w in common) for w in ANY_COMMON}
 
 WORD = re.compile(r"[^\W\d_]+")
+ASCII_WORD = re.compile(r"[a-z]+")
 BULLET = re.compile(r"\s*(?:[-*•‣▪◦–—+·]{1,2}\s+|\[[ xX✓]?\]\s*|\(?\d{1,4}[.)\]:]\s+|\[\d{1,4}\]\s*|\(?[a-zA-Z][.)]\s+|\(?[ivxlcIVXLC]{1,6}[.)]\s+|[☐☑✓✗]\s*)")
 LEADER = re.compile(r"(?:\.{4,}|(?:\. ){3,}|_{4,}|…{2,})\s*\S{0,8}\s*$")
 RULE = re.compile(r"^[\s|+:=\-─━│┼┌┐└┘├┤┬┴*_]+$")
@@ -38,15 +41,16 @@ SEPARATORS = ("\t", "|", ";", " & ", "  ", "¦", ",", "~", "^")
 ROW_MARKS = ("; ", " · ", " • ", " / ", " | ", ", ", " – ", " - ", " + ", " * ")
 
 KINDS = ("prose", "list", "table", "junk")
-#: A text with at least this share of common words is prose by the greater part of its characters.
-PLAIN_SHARE = 0.28
 
 
 def language(words: Counter, total: int) -> tuple[str, float]:
     """The language whose common words make up the largest share of the words, and that share."""
+    sums = dict.fromkeys(LANGUAGES, 0)
+    for w in words.keys() & ANY_COMMON:
+        for lang in LANGUAGES_OF[w]:
+            sums[lang] += words[w]
     best, most = "und", 0
-    for lang, common in COMMON.items():
-        s = sum(words[w] for w in common if w in words)
+    for lang, s in sums.items():
         if s > most:
             best, most = lang, s
     return best, most / total if total else 0.0
@@ -138,24 +142,34 @@ def _row_list(line: str, shared: float) -> bool:
 
 
 def _odd_share(text: str, size: int) -> float:
-    return len(ODD.findall(text)) / size if size else 0.0
+    if not size or text.isascii() and "?" not in text:  # of all odd marks only ? is ASCII
+        return 0.0
+    return len(ODD.findall(text)) / size
 
 
-def line_kinds(text: str, share: float) -> dict[str, int]:
+def words_by_line(text: str) -> list[list[str]]:
+    """Lower-case words of each line."""
+    return [_lower_words(line) for line in text.splitlines()]
+
+
+def _lower_words(text: str) -> list[str]:
+    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower())
+
+
+def line_kinds(text: str, share: float, by_line: list[list[str]] | None = None) -> dict[str, int]:
     """Characters (without white space) of the text in prose, list, table and junk lines.
 
-    share: the text's share of common words. A line with several common words is prose; other lines are told by
+    share: the text's share of common words. by_line: words_by_line(text), if known. A line with several common words is prose; other lines are told by
     their form; a line without any form takes the kind of its neighbours.
     """
     chars = dict.fromkeys(KINDS, 0)
     lines = text.splitlines()
-    size, words, shared, plain = [], [], [], []
-    for line in lines:
-        w = WORD.findall(line.lower())
-        n = sum(x in ANY_COMMON for x in w)
+    words = words_by_line(text) if by_line is None else by_line
+    size, shared, plain = [], [], []
+    for line, w in zip(lines, words):
+        n = sum(map(ANY_COMMON.__contains__, w))
         s = n / len(w) if w else 0.0
         size.append(sum(map(len, line.split())))
-        words.append(w)
         shared.append(s)
         plain.append(n >= 2 and s >= 0.2 and len(w) >= 5)
     tables = _table_lines(lines, plain)
@@ -171,7 +185,7 @@ def line_kinds(text: str, share: float) -> dict[str, int]:
             kinds[i] = "table"
         elif not plain[i] and _junk_line(line, words[i], shared[i]):
             kinds[i] = "junk"
-        elif LEADER.search(line) and not plain[i]:
+        elif not plain[i] and LEADER.search(line):
             kinds[i] = "list"
         elif BULLET.match(line):
             kinds[i] = "prose" if plain[i] and len(words[i]) >= 8 else "bullet"
@@ -256,15 +270,21 @@ class Neighbours:
 
 def words_of(text: str) -> tuple[list[str], str, float]:
     """Lower-case words, language ('und' if it can't be told) and share of common words."""
-    words = WORD.findall(text.lower())
-    lang, share = language(Counter(words), len(words))
-    return words, lang if share >= LANGUAGE_SHARE else "und", share
+    words = _lower_words(text)
+    return words, *told_language(words)
+
+
+def told_language(words: list[str]) -> tuple[str, float]:
+    lang, share = language(Counter(filter(ANY_COMMON.__contains__, words)), len(words))
+    return lang if share >= LANGUAGE_SHARE else "und", share
 
 
 def text_statistics(text: str | None, neighbours: Neighbours) -> tuple[str, int, list[float], dict[str, int], bool]:
     """(language, words, statistics, characters by kind of line, whether the whole text is broken or repeats itself)."""
     text = text or ""
-    words, lang, share = words_of(text)
+    by_line = words_by_line(text)
+    words = list(chain.from_iterable(by_line))
+    lang, share = told_language(words)
     n = len(words)
     size = sum(map(len, text.split()))
     odd = _odd_share(text, size)
@@ -273,10 +293,8 @@ def text_statistics(text: str | None, neighbours: Neighbours) -> tuple[str, int,
     broken = odd > ODD_SHARE or (packed < REPEATED and n >= REPEATED_WORDS)
     if broken or not size:
         chars = dict.fromkeys(KINDS, 0) | {"junk": size}
-    elif share >= PLAIN_SHARE and "<t" not in text:
-        chars = dict.fromkeys(KINDS, 0) | {"prose": size}
     else:
-        chars = line_kinds(text, share)
+        chars = line_kinds(text, share, by_line)
     whole = max(1, sum(chars.values()))
     letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))

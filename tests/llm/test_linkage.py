@@ -1,4 +1,4 @@
-from weftgraph.llm.linkage import BUCKET_NODES, MinHash, bands_for, candidate_pairs, collision, padded_grams, same_entity_pairs
+from weftgraph.llm.linkage import BUCKET_NODES, MinHash, bands_for, candidate_pairs, collision, common_words, padded_grams, same_entity_pairs
 from weftgraph.llm.names import Form, canonical_form, edits, parse_organisation, parse_person, similarity
 
 COMMON = frozenset({"anthony", "abigail", "robert", "roberta", "logistics", "group", "systems", "university"})
@@ -67,3 +67,22 @@ def test_crowded_buckets_lose_no_pair(spark):
     assert met.where("type = 'Person'").count() == n * (n - 1) // 2
     assert met.where("form = 'bxl|||A' or form_b = 'bxl|||A'").count() == n
     assert pairs.where("a >= b").count() == 0
+
+
+def test_few_names_are_linked_like_many(spark):
+    rows = [("1", "Person", "Farid Yarvald", {}), ("2", "Person", "Farid Yarvlad", {}), ("3", "Person", "Wanda Yarvald", {}), ("4", "Organization", "Dornvik Logistics", {}), ("5", "Organization", "Dornvikk Logistics", {})]
+    # Incomplete spellings, whose context agrees or contradicts.
+    rows += [("6", "Person", "H. Kronstad", {"city": "X", "birth_year": "1950"}), ("7", "Person", "H. Kronsatd", {"city": "X", "birth_year": "1950"}), ("8", "Person", "H. Kronstda", {"city": "Y", "birth_year": "1977"})]
+    df = spark.createDataFrame([("u", *r) for r in rows], "user_id string, id string, type string, label string, properties map<string,string>")
+    assert {tuple(r) for r in same_entity_pairs(df).collect()} == {("1", "2"), ("4", "5"), ("6", "7")}
+
+
+def test_given_names_are_told_at_any_size(spark):
+    def given(n):
+        words = [a + b + c + d for a in "bdfgk" for b in "aeiou" for c in ("rn", "lk", "st", "mp") for d in ("ad", "ov", "ik", "un", "el", "os", "em", "ir")]
+        # One given name in a hundred beside ten family names only; family names are rare.
+        names = [("farid " + words[i // 100 % 10]) if i % 100 == 0 else f"{words[i % 800]} {words[(i * 7 + 3) % 800]}x" for i in range(n)]
+        df = spark.createDataFrame([("u", "Person", str(i), x) for i, x in enumerate(names)], "user_id string, type string, id string, raw string")
+        return common_words(df)["Person"]
+
+    assert given(1000) == given(8000) == {"farid"}

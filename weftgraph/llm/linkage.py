@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import names
-from weftgraph.llm.names import THRESHOLD, Form, canonical_form, parse_organisation, parse_person, similarity
+from weftgraph.llm.names import THRESHOLD, Form, canonical_form, context_score, parse_organisation, parse_person, similarity
 from weftgraph.plans.lineage import cut
 from weftgraph.plans.workers import by_value
 
@@ -81,8 +81,9 @@ class MinHash:
         return self.known[word]
 
 
-#: Words that stand beside this part of all typed names of a type, or LEAST_PARTNERS others, are no names of their own.
-PARTNER_SHARE, LEAST_PARTNERS = 0.002, 15
+#: Words in this part of all typed names of a type, beside LEAST_PARTNERS others at least, are no names of their own. The
+#: part stays as data grow; how many others there are would not.
+NAME_SHARE, LEAST_PARTNERS = 0.0035, 8
 TYPES = ("Person", "Organization")
 
 
@@ -104,7 +105,7 @@ def contexts(records: DataFrame) -> DataFrame:
 def common_words(typed: DataFrame) -> dict[str, frozenset[str]]:
     """Given names, and words of organisations: those that stand beside many different words.
 
-    A word needs PARTNER_SHARE of all names beside it, so at most words-a-name / PARTNER_SHARE words come to the driver.
+    A word needs to be in NAME_SHARE of all names, so at most words-a-name / NAME_SHARE words come to the driver.
     """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,8 +113,8 @@ def common_words(typed: DataFrame) -> dict[str, frozenset[str]]:
             kinds, word, partner = [], [], []
             for kind, raw in zip(pdf["type"], pdf["raw"]):
                 own = sorted({w for part in (parse_person(raw) if kind == "Person" else parse_organisation(raw)[:1]) for w in part if len(w) > 1})
-                for x in own:
-                    for y in own:
+                for x in own:  # beside None once in each name
+                    for y in (None, *own):
                         if x != y:
                             kinds.append(kind)
                             word.append(x)
@@ -121,9 +122,9 @@ def common_words(typed: DataFrame) -> dict[str, frozenset[str]]:
             yield pd.DataFrame({"type": kinds, "word": word, "partner": partner})
 
     pairs = typed.select("type", "raw").mapInPandas(tokens, "type string, word string, partner string")
-    partners = pairs.groupBy("type", "word").agg(F.approx_count_distinct("partner", 0.02).alias("n"))
+    partners = pairs.groupBy("type", "word").agg(F.approx_count_distinct("partner", 0.02).alias("partners"), F.count_if(F.col("partner").isNull()).alias("n"))
     total = typed.groupBy("type").agg(F.count(F.lit(1)).alias("total"))
-    found = partners.join(F.broadcast(total), "type").where(F.col("n") >= F.greatest(F.lit(LEAST_PARTNERS), F.col("total") * PARTNER_SHARE)).select("type", "word").collect()
+    found = partners.join(F.broadcast(total), "type").where((F.col("partners") >= LEAST_PARTNERS) & (F.col("n") >= F.col("total") * NAME_SHARE)).select("type", "word").collect()
     return {kind: frozenset(r.word for r in found if r.type == kind) for kind in TYPES}
 
 
@@ -163,10 +164,9 @@ BUCKET_NODES = 400
 def candidate_pairs(members: DataFrame, bands: int) -> DataFrame:
     """(a, b) with a < b: nodes of one user and type that share a band of some rare word and an initial beside it.
 
-    An acronym meets the forms that it abbreviates. At least one of the two is complete, or their forms are the same, so
-    that incomplete spellings meet through complete ones and not each other.
+    An acronym meets the forms that it abbreviates.
     """
-    nodes = members.select("user_id", "type", "node", "form", "full", "acronym").distinct()
+    nodes = members.select("user_id", "type", "node", "form", "acronym").distinct()
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = MinHash(bands)
@@ -179,19 +179,15 @@ def candidate_pairs(members: DataFrame, bands: int) -> DataFrame:
                 own = _bucket_keys(scopes[user, kind], form, acronym, hashed)
                 key += own
                 at += [n] * len(own)
-            acronyms = np.array([t.endswith("|A") for t in pdf["form"]], bool)
-            form_hash = np.array([_signed(_stable(t)) for t in pdf["form"]], np.int64)
             at = np.array(at, int)
-            yield pd.DataFrame({"key": np.array(key, np.int64), "node": pdf["node"].to_numpy()[at], "full": (pdf["full"].to_numpy(bool) | acronyms)[at], "form_hash": form_hash[at]})
+            yield pd.DataFrame({"key": np.array(key, np.int64), "node": pdf["node"].to_numpy()[at]})
 
-    bucket = "key long, node long, full boolean, form_hash long"
-    keyed = cut(nodes.select("user_id", "type", "node", "form", "full", "acronym").mapInPandas(keys, bucket))
+    keyed = cut(nodes.mapInPandas(keys, "key long, node long"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_NODES)
     left = right = keyed
     if crowded.take(1):
         left, right = _in_blocks(keyed, cut(crowded))
-    other = right.select("key", F.col("node").alias("b"), F.col("full").alias("full_b"), F.col("form_hash").alias("form_b"))
-    met = left.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("full") | F.col("full_b") | (F.col("form_hash") == F.col("form_b"))))
+    met = left.join(right.select("key", F.col("node").alias("b")), "key").where(F.col("node") < F.col("b"))
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -235,7 +231,10 @@ def _bucket_keys(scope: int, form: Form, acronym: str, hashed: MinHash) -> list[
 
 
 def verified_links(pairs: DataFrame, nodes: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
-    """(a, b, score) of the candidate pairs whose similarity reaches the threshold."""
+    """(a, b, score) of the candidate pairs whose similarity reaches the threshold.
+
+    The context of two incomplete spellings that differ must not speak against them.
+    """
     side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("type", "form", "city", "year", "third")))
     both = pairs.join(side("a"), "a").join(side("b").drop("type_b"), "b")
 
@@ -244,13 +243,17 @@ def verified_links(pairs: DataFrame, nodes: DataFrame, common: dict[str, frozens
             # Missing context comes as None or NaN; either counts as missing.
             side = lambda x: [tuple(v if isinstance(v, str) else None for v in row) for row in zip(pdf[f"city_{x}"], pdf[f"year_{x}"], pdf[f"third_{x}"])]  # noqa: B023, E731
             forms = {t: Form.read(t) for t in {*pdf["form_a"], *pdf["form_b"]}}
-            scores = [similarity(k, forms[a], forms[b], x, y, common[k]) for k, a, b, x, y in zip(pdf["type_a"], pdf["form_a"], pdf["form_b"], side("a"), side("b"))]
+            scores = [similarity(k, forms[a], forms[b], x, y, common[k]) if _may_link(forms[a], forms[b], x, y) else 0.0 for k, a, b, x, y in zip(pdf["type_a"], pdf["form_a"], pdf["form_b"], side("a"), side("b"))]
             out = pd.DataFrame({"a": pdf["a"].astype("int64"), "b": pdf["b"].astype("int64"), "score": np.array(scores, float)})
             yield out[out["score"] >= THRESHOLD]
 
     return both.mapInPandas(verify, "a long, b long, score double")
 
 
+def _may_link(a: Form, b: Form, context_a: tuple, context_b: tuple) -> bool:
+    return a.full or b.full or a.acronym or b.acronym or a.text == b.text or context_score(context_a, context_b) >= 0
+
+
 def star_clusters(nodes: DataFrame, links: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(node, center) of each node that has a link.
 

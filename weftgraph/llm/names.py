@@ -228,7 +228,7 @@ def canonical_form(kind: str, raw: str, common: frozenset[str]) -> Form | None:
             if len(known) < 2:
                 return Form(known, [], "", False, False) if known else None
             rare = [known.pop()]
-        return Form(rare, known, "", any(len(k) > 1 for k in known), False)
+        return Form(rare, known, "", any(len(k) > 1 for k in known) or _whole(rare), False)
     tokens, legal = parse_organisation(raw)
     rare, known = [], []
     for w in tokens:
@@ -250,7 +250,12 @@ def canonical_form(kind: str, raw: str, common: frozenset[str]) -> Form | None:
     if not rare:
         rare = [known.pop(0)]
     acronym = len(tokens) == 1 and len(tokens[0]) <= 4
-    return Form(rare, known, legal, bool(known) and not acronym, acronym)
+    return Form(rare, known, legal, (bool(known) or _whole(rare)) and not acronym, acronym)
+
+
+def _whole(rare: list[str]) -> bool:
+    """Two words are a whole name, even if the data are too few to tell which of them is the given or general one."""
+    return sum(len(w) > 1 for w in rare) >= 2
 
 
 def acronym_of(kind_order: list[str]) -> str:

@@ -99,3 +99,15 @@ def test_stream_state_and_windows(spark, tmp_path):
         want[k] = v if k not in want else 0.7 * want[k] + 0.3 * v
     assert {r.event_type: round(r.ema, 6) for r in spark.table("ema").collect()} == {k: round(v, 6) for k, v in want.items()}
     assert spark.table("win").selectExpr("sum(n)").first()[0] == 20
+
+
+def test_banding_has_twenty_bands(spark):
+    from weftgraph.operators.resolution import banded
+
+    # Jaccard similarity of the 3-grams 0.7: of 20 bands some are shared, of 4 too few.
+    rows = [(f"{k}{side}", f"{k * 7919 % 99991}-{name}{k * k}{end}") for k in range(40) for side, name, end in (("a", "holding company of the north ", "x"), ("b", "holding company of the north ", "yz!"))]
+    buckets = banded(spark.createDataFrame(rows, "id string, label string"), "label").cache()
+    assert {r["count"] for r in buckets.groupBy("id").count().collect()} == {20}
+    a = buckets.where("id like '%a'").selectExpr("substr(id, 1, length(id) - 1) as k", "band")
+    b = buckets.where("id like '%b'").selectExpr("substr(id, 1, length(id) - 1) as k", "band")
+    assert a.join(b, ["k", "band"]).select("k").distinct().count() >= 38

@@ -92,7 +92,7 @@ def band_keys(grams: Sequence[str], n: int, rows: int, known: dict[str, int]) ->
     return [hashlib.md5("|".join([str(i), *map(str, least[i * rows : (i + 1) * rows])]).encode()).hexdigest()[:12] for i in range(n // rows)]
 
 
-def banded(records: DataFrame, text: str, n: int = 20, rows: int = 5, gram: int = 3) -> DataFrame:
+def banded(records: DataFrame, text: str, n: int = 100, rows: int = 5, gram: int = 3) -> DataFrame:
     """(id, band): the LSH buckets of each record's text. Grams are cut in the JVM, hashed in Arrow batches."""
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

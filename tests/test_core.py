@@ -111,3 +111,12 @@ def test_banding_has_twenty_bands(spark):
     a = buckets.where("id like '%a'").selectExpr("substr(id, 1, length(id) - 1) as k", "band")
     b = buckets.where("id like '%b'").selectExpr("substr(id, 1, length(id) - 1) as k", "band")
     assert a.join(b, ["k", "band"]).select("k").distinct().count() >= 38
+
+
+def test_ledger_keeps_the_newest_ten_thousand(spark, tmp_path):
+    from weftgraph.queries_graph import win_ledger_cap
+
+    rows = spark.range(10_050).selectExpr("lpad(id, 6, '0') as id", "'u' as user_id", "'T' as type", "timestamp_seconds(id) as updated_at")
+    rows.write.parquet(str(tmp_path / "node_snapshots.parquet"))
+    got = {r.id for r in win_ledger_cap(spark, str(tmp_path)).collect()}
+    assert got == {f"{i:06d}" for i in range(50, 10_050)}

@@ -433,7 +433,7 @@ def set_patched(spark: SparkSession, d: str) -> DataFrame:
 def win_ledger_cap(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "node_snapshots").groupBy("id", "user_id", "type").agg(F.max("updated_at").alias("updated_at"))
     w = Window.partitionBy("user_id", "type").orderBy(F.col("updated_at").desc_nulls_last(), "id")
-    return own.withColumn("n", F.row_number().over(w)).where("n <= 100").select("id")
+    return own.withColumn("n", F.row_number().over(w)).where("n <= 10000").select("id")
 
 
 @query("win_pending_page", "select id from (select id, max(created_at) as created_at from disputed_pairs where status = 'pending' group by id) order by created_at desc, id limit 20 offset 20")

@@ -63,3 +63,13 @@ def test_scenarios(spark):
 
 def test_every_twin_has_its_query():
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) > 100
+
+
+def test_every_transform_is_matched_with_the_one_before(spark, tmp_path):
+    from weftgraph.queries_cascade import jn_production_match
+
+    rows = [("u", "t1", 1, "a", "k1"), ("u", "t2", 2, "b", "k1"), ("u", "t3", 3, "c", "k1"), ("v", "s2", 2, "x", "k1"), ("v", "s5", 5, "y", "k1"), ("v", "s5", 5, "z", "k2")]
+    df = spark.createDataFrame([(*r, "T", {"name": r[3]}) for r in rows], "user_id string, transform_id string, seq_no int, id string, canonical_id string, type string, properties map<string,string>")
+    df.write.parquet(str(tmp_path / "node_snapshots.parquet"))
+    got = {(r.user_id, r.transform_id, r.id, r.strategy, r.target) for r in jn_production_match(spark, str(tmp_path)).collect()}
+    assert got == {("u", "t2", "b", "canonical_id", "a"), ("u", "t3", "c", "canonical_id", "b"), ("v", "s5", "y", "canonical_id", "x")}

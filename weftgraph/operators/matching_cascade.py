@@ -10,25 +10,25 @@ from pyspark.sql import functions as F
 from weftgraph.plans.skew import salted_join
 
 
-def first_match(records: DataFrame, targets: DataFrame, strategies: Sequence[tuple[str, Sequence[tuple[Column, Column]], float]]) -> DataFrame:
-    """(id, strategy, target, n_targets, confidence): the first strategy with a hit decides; target is set for exactly one hit.
+def first_match(records: DataFrame, targets: DataFrame, strategies: Sequence[tuple[str, Sequence[tuple[Column, Column]], float]], within: Sequence[str] = ()) -> DataFrame:
+    """(*within, id, strategy, target, n_targets, confidence): the first strategy with a hit decides; target is set for exactly one hit.
 
     strategies: (name, [(record key, target key)], confidence). All strategies are one equi-join on (rank, key hash). records and
     targets need id; a strategy with a NULL key is skipped for that row. A strategy with several targets is ambiguous: its
-    confidence counts half and it names no target.
+    confidence counts half and it names no target. Records meet only targets that agree in the columns within.
     """
     def keyed(df: DataFrame, side: int, name: str) -> DataFrame:
         keys = [F.when(_all_set([p[side] for p in pairs]), F.xxhash64(*(p[side] for p in pairs))) for _, pairs, _ in strategies]
-        return df.select(F.col("id").alias(name), F.posexplode(F.array(*keys)).alias("rank", "key")).where("key is not null").distinct()
+        return df.select(*within, F.col("id").alias(name), F.posexplode(F.array(*keys)).alias("rank", "key")).where("key is not null").distinct()
 
-    hits = salted_join(keyed(records, 0, "id"), keyed(targets, 1, "target"), ["rank", "key"], "inner", F.col("id"))
-    counted = hits.groupBy("id", "rank").agg(F.count_distinct("target").alias("n_targets"), F.min("target").alias("target"))
-    best = counted.groupBy("id").agg(F.min(F.struct("rank", "n_targets", "target")).alias("b")).select("id", "b.*")
+    hits = salted_join(keyed(records, 0, "id"), keyed(targets, 1, "target"), [*within, "rank", "key"], "inner", F.col("id"))
+    counted = hits.groupBy(*within, "id", "rank").agg(F.count_distinct("target").alias("n_targets"), F.min("target").alias("target"))
+    best = counted.groupBy(*within, "id").agg(F.min(F.struct("rank", "n_targets", "target")).alias("b")).select(*within, "id", "b.*")
     name, sure = F.lit(None).cast("string"), F.lit(None).cast("double")
     for i, (n, _, c) in enumerate(strategies):
         name = F.when(F.col("rank") == i, n).otherwise(name)
         sure = F.when(F.col("rank") == i, F.when(F.col("n_targets") == 1, c).otherwise(c / 2)).otherwise(sure)
-    return best.select("id", name.alias("strategy"), F.when(F.col("n_targets") == 1, F.col("target")).alias("target"), "n_targets", sure.alias("confidence"))
+    return best.select(*within, "id", name.alias("strategy"), F.when(F.col("n_targets") == 1, F.col("target")).alias("target"), "n_targets", sure.alias("confidence"))
 
 
 def _all_set(columns: Sequence[Column]) -> Column:

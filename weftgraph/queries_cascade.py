@@ -9,6 +9,7 @@ from weftgraph.functions import identity
 from weftgraph.operators import matching_cascade as cascade
 from weftgraph.operators import ontology, versioning
 from weftgraph.operators.graph import latest_rows
+from weftgraph.operators.snapshot_diff import transform_pairs
 from weftgraph.registry import query
 from weftgraph.sources import table
 
@@ -28,10 +29,14 @@ c as (select k.id, k.rank, count(distinct target) as n_targets, min(target) as t
 select id, case b.rank when 0 then 'canonical_id' when 1 then 'name' else 'id' end as strategy, case when b.n_targets = 1 then b.target end as target, b.n_targets as n_targets, (case b.rank when 0 then 0.95 when 1 then 0.9 else 0.7 end / case when b.n_targets = 1 then 1 else 2 end)::double as confidence from b""",
 )
 def jn_production_match(spark: SparkSession, d: str) -> DataFrame:
-    c, name, t = F.col("canonical_id"), F.lower(F.col("properties")["name"]), F.col("type")
+    c, name, t = F.col("canonical_id"), F.col("name"), F.col("type")
     strategies = [("canonical_id", [(t, t), (c, c)], 0.95), ("name", [(t, t), (name, name)], 0.9), ("id", [(F.col("id"), F.col("id"))], 0.7)]
-    snap = table(spark, d, "node_snapshots")
-    return cascade.first_match(snap.where("seq_no = 2"), snap.where("seq_no = 1"), strategies)
+    snap = table(spark, d, "node_snapshots").select("user_id", "transform_id", "seq_no", "id", "type", "canonical_id", F.lower(F.col("properties")["name"]).alias("name"))
+    # Each transform against the one before it in its user's order.
+    pairs = transform_pairs(snap).where("before is not null")
+    records = snap.join(pairs.select("user_id", "transform_id"), ["user_id", "transform_id"])
+    targets = snap.withColumnRenamed("transform_id", "before").join(pairs.select("user_id", "transform_id", "before"), ["user_id", "before"])
+    return cascade.first_match(records, targets, strategies, ["user_id", "transform_id"])
 
 
 @query(

@@ -17,16 +17,23 @@ from weftgraph.sources import table
 ONTOLOGY = {"entities": {"Person": {"properties": {"name": {"required": True, "unique": True}, "birth_year": {"type": "integer"}, "city": {}}}, "Organization": {"properties": {"name": {"required": True}, "founded": {"type": "integer"}}}}}
 
 
-def _match_keys(name: str, where: str) -> str:
-    return f"""select distinct id as {name}, 0 as rank, type || '|' || canonical_id as key from node_snapshots where {where} and trim(canonical_id) <> '' union select distinct id, 1, type || '|' || lower(properties['name']) from node_snapshots
-where {where} and trim(properties['name']) <> '' union select distinct id, 2, id from node_snapshots where {where}"""
+_PAIRS = "pairs as (select user_id, transform_id, lag(transform_id) over (partition by user_id order by seq_no, transform_id) as before from (select user_id, transform_id, max(seq_no) as seq_no from node_snapshots group by all))"
+
+
+def _match_keys(name: str, at: str) -> str:
+    """Keys of the rows of each pair of transforms, on the side that ``at`` names."""
+    rows = f"from pairs p join node_snapshots s on s.user_id = p.user_id and s.transform_id = p.{at} where p.before is not null"
+    own = f"p.user_id, p.transform_id, s.id as {name}"
+    return f"""select distinct {own}, 0 as rank, s.type || '|' || s.canonical_id as key {rows} and trim(s.canonical_id) <> '' union select distinct {own}, 1, s.type || '|' || lower(s.properties['name']) {rows}
+and trim(s.properties['name']) <> '' union select distinct {own}, 2, s.id {rows}"""
 
 
 @query(
     "jn_production_match",
-    f"""with k as ({_match_keys("id", "seq_no = 2")}), t as ({_match_keys("target", "seq_no = 1")}),
-c as (select k.id, k.rank, count(distinct target) as n_targets, min(target) as target from k join t on t.rank = k.rank and t.key = k.key group by all), b as (select id, min(struct_pack(rank := rank, n_targets := n_targets, target := target)) as b from c group by id)
-select id, case b.rank when 0 then 'canonical_id' when 1 then 'name' else 'id' end as strategy, case when b.n_targets = 1 then b.target end as target, b.n_targets as n_targets, (case b.rank when 0 then 0.95 when 1 then 0.9 else 0.7 end / case when b.n_targets = 1 then 1 else 2 end)::double as confidence from b""",
+    f"""with {_PAIRS}, k as ({_match_keys("id", "transform_id")}), t as ({_match_keys("target", "before")}),
+c as (select k.user_id, k.transform_id, k.id, k.rank, count(distinct target) as n_targets, min(target) as target from k join t on t.user_id = k.user_id and t.transform_id = k.transform_id and t.rank = k.rank and t.key = k.key group by all),
+b as (select user_id, transform_id, id, min(struct_pack(rank := rank, n_targets := n_targets, target := target)) as b from c group by all)
+select user_id, transform_id, id, case b.rank when 0 then 'canonical_id' when 1 then 'name' else 'id' end as strategy, case when b.n_targets = 1 then b.target end as target, b.n_targets as n_targets, (case b.rank when 0 then 0.95 when 1 then 0.9 else 0.7 end / case when b.n_targets = 1 then 1 else 2 end)::double as confidence from b""",
 )
 def jn_production_match(spark: SparkSession, d: str) -> DataFrame:
     c, name, t = F.col("canonical_id"), F.col("name"), F.col("type")

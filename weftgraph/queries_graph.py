@@ -428,7 +428,7 @@ def set_patched(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "win_ledger_cap",
-    "select id from (select id, row_number() over (partition by user_id, type order by updated_at desc nulls last, id) as n from (select id, user_id, type, max(updated_at) as updated_at from node_snapshots group by all)) where n <= 100",
+    "select id from (select id, row_number() over (partition by user_id, type order by updated_at desc nulls last, id) as n from (select id, user_id, type, max(updated_at) as updated_at from node_snapshots group by all)) where n <= 10000",
 )
 def win_ledger_cap(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "node_snapshots").groupBy("id", "user_id", "type").agg(F.max("updated_at").alias("updated_at"))

@@ -55,9 +55,9 @@ def blk_rule_pairs(spark: SparkSession, d: str) -> DataFrame:
     "with g as (select id, list_distinct(case when length(v) >= 3 then list_transform(range(1, length(v) - 1), lambda i: substr(v, i, 3)) else [v] end) as grams from (select distinct id, lower(trim(label)) as v from expected_nodes where length(trim(label)) > 0)), "
     "h as (select id, list_transform(grams, lambda x: ('0x' || substr(md5(x), 1, 7))::bigint) as h from g), "
     "s as (select id, ["
-    + ", ".join(f"list_min(list_transform(h, lambda x: (x * {(k * 2 + 1) * 7919 % 65521 + 1} + {(k + 1) * 104729}) % {resolution.MERSENNE}))" for k in range(20))
+    + ", ".join(f"list_min(list_transform(h, lambda x: (x * {(k * 2 + 1) * 7919 % 65521 + 1} + {(k + 1) * 104729}) % {resolution.MERSENNE}))" for k in range(100))
     + "] as s from h) select distinct id, unnest(["
-    + ", ".join("substr(md5(concat_ws('|', '%d', %s)), 1, 12)" % (i, ", ".join(f"s[{i * 5 + r + 1}]" for r in range(5))) for i in range(4))
+    + ", ".join("substr(md5(concat_ws('|', '%d', %s)), 1, 12)" % (i, ", ".join(f"s[{i * 5 + r + 1}]" for r in range(5))) for i in range(20))
     + "]) as band from s",
 )
 def blk_minhash(spark: SparkSession, d: str) -> DataFrame:

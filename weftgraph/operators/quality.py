@@ -94,11 +94,12 @@ def gate(score: Column, errors: Column, warnings: Column, completeness: Column,
 
 
 def graph_scores(nodes: DataFrame, violations: DataFrame, expected: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One row a transform: its figures, score, grade and gate. violations need entity_id and severity."""
+    """One row a transform: its figures, score, grade and gate. violations need transform_id and severity: an entity that is in
+    several transforms is judged in each by what was found there."""
     filled = F.coalesce(*(F.when(F.col("type_") == t, _filled_count(F.col("properties"), keys)) for t, keys in expected.items()), F.lit(0))
     wanted = F.coalesce(*(F.when(F.col("type_") == t, F.lit(len(keys))) for t, keys in expected.items()), F.lit(0))
     figures = nodes.groupBy("transform_id").agg(F.count(F.lit(1)).alias("n_entities"), F.sum(filled).alias("filled"), F.sum(wanted).alias("wanted"), F.avg("confidence_score").alias("confidence"))
-    severities = violations.join(nodes.select(F.col("id").alias("entity_id"), "transform_id").distinct(), "entity_id").groupBy("transform_id").agg(*(F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("error", "warning", "info")))
+    severities = violations.groupBy("transform_id").agg(*(F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("error", "warning", "info")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     out = figures.join(severities, "transform_id", "left").select(
         "transform_id", "n_entities", zero("errors"), zero("warnings"), zero("infos"), F.when(F.col("wanted") > 0, F.col("filled") / F.col("wanted") * 100).otherwise(F.lit(100.0)).alias("completeness"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")

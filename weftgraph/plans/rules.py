@@ -90,8 +90,11 @@ def register_check(kind: str, check: Callable[..., list[tuple[Column, str, str]]
     CHECKS[kind] = check
 
 
-def property_violations(nodes: DataFrame, rules: Sequence[Rule], entity_type: str = "type_", entity_id: str = "id") -> DataFrame:
-    """Violations of all rules in one pass. A rule may give several rows for one value; NULL results count as no violation."""
+def property_violations(nodes: DataFrame, rules: Sequence[Rule], entity_type: str = "type_", entity_id: str = "id", keep: Sequence[str] = ()) -> DataFrame:
+    """Violations of all rules in one pass. A rule may give several rows for one value; NULL results count as no violation.
+
+    keep: further columns of the nodes that each violation carries, such as the transform it was found in.
+    """
     found = []
     for r in rules:
         value = F.col("properties")[r.property_name]
@@ -103,5 +106,5 @@ def property_violations(nodes: DataFrame, rules: Sequence[Rule], entity_type: st
             )
             found.append(F.when((F.col(entity_type) == r.entity_type) & violated, row))
     typed = nodes.where(F.col(entity_type).isin(sorted({r.entity_type for r in rules})))
-    rows = typed.select(F.col(entity_type).alias("entity_type"), F.col(entity_id).alias("entity_id"), F.explode(F.array_compact(F.array(*found))).alias("v"))
-    return rows.select("v.rule_id", "v.rule_type", "v.severity", "entity_type", "entity_id", "v.property_name", "v.message", "v.expected", "v.actual")
+    rows = typed.select(*keep, F.col(entity_type).alias("entity_type"), F.col(entity_id).alias("entity_id"), F.explode(F.array_compact(F.array(*found))).alias("v"))
+    return rows.select(*keep, "v.rule_id", "v.rule_type", "v.severity", "entity_type", "entity_id", "v.property_name", "v.message", "v.expected", "v.actual")

@@ -25,8 +25,9 @@ RULES = (
 EXPECTED = {"Person": ("name", "city"), "Company": ("name", "city", "status", "year"), "Vessel": ("name", "status")}
 S = r"regexp_replace(v, '^\s+|\s+$', '', 'g')"
 
-_VIOLATIONS = rf"""
-p as (select id, type, transform_id, loaded_at, properties, properties['name'] as nm, properties['status'] as st, properties['year'] as yr from node_snapshots),
+def _violations_sql(source: str, type_column: str) -> str:
+    return rf"""
+p as (select id, {type_column} as type, transform_id, loaded_at, properties, properties['name'] as nm, properties['status'] as st, properties['year'] as yr from {source}),
 a as (select id, transform_id, loaded_at, type, 'name' as prop, nm as v, true as present from p where type = 'Person' and nm is not null),
 violations as (
   select 'person-name-length' as rule_id, 'warning' as severity, type as entity_type, id as entity_id, transform_id from a where length({S}) < 8
@@ -44,6 +45,9 @@ violations as (
   union all select 'company-year-window', 'warning', type, id, transform_id from (select *, yr as v from p) where type = 'Company' and regexp_full_match({S}, '[+-]?\d+') and try_cast({S} as int) > 2024)"""
 
 
+_VIOLATIONS = _violations_sql("node_snapshots", "type")
+
+
 def _snapshot_violations(spark: SparkSession, d: str) -> DataFrame:
     return property_violations(table(spark, d, "node_snapshots"), RULES, entity_type="type")
 
@@ -135,14 +139,14 @@ def qr_cross_entity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "qr_graph_scores",
-    f"""with {_VIOLATIONS}, u as (select *, type as type_ from node_snapshots), f as (select transform_id, count(*) as n_entities, sum(coalesce({_filled_sql('type_')}, 0)) as filled, sum(coalesce({_WANTED.format('type_')}, 0)) as wanted from u group by transform_id),
-ids as (select distinct id, transform_id from node_snapshots),
-s as (select ids.transform_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos from violations v join ids on ids.id = v.entity_id group by ids.transform_id),
-r as (select f.transform_id, n_entities, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos, case when wanted > 0 then filled / wanted * 100 else 100.0 end as completeness from f left join s on s.transform_id = f.transform_id),
-q as (select *, greatest(0.0, least(100.0, 100.0 - errors * 10 - warnings * 5 - infos + (completeness - 50) * 0.2 + (0.5 - 0.5) * 20)) as score from r)
-select transform_id, n_entities, errors, warnings, infos, completeness::double as completeness, score::double as score, case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end as grade,
+    f"""with {_violations_sql('graph_nodes', 'type_')}, f as (select transform_id, count(*) as n_entities, sum(coalesce({_filled_sql('type_')}, 0)) as filled, sum(coalesce({_WANTED.format('type_')}, 0)) as wanted, coalesce(avg(confidence_score), 0.0) as confidence from graph_nodes group by transform_id),
+s as (select transform_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos from violations group by transform_id),
+r as (select f.transform_id, n_entities, confidence, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos, case when wanted > 0 then filled / wanted * 100 else 100.0 end as completeness from f left join s on s.transform_id = f.transform_id),
+q as (select *, greatest(0.0, least(100.0, 100.0 - errors * 10 - warnings * 5 - infos + (completeness - 50) * 0.2 + (confidence - 0.5) * 20)) as score from r)
+select transform_id, n_entities, errors, warnings, infos, round(completeness, 6)::double as completeness, round(confidence, 6)::double as confidence, round(score, 6)::double as score, case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end as grade,
 case when score < 70 or errors > 0 or completeness < 50 then 'fail' when score < 80 or warnings > 10 then 'warn' else 'pass' end as gate from q""",
 )
 def qr_graph_scores(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "node_snapshots").withColumn("type_", F.col("type")).withColumn("confidence_score", F.lit(0.5))
-    return quality.graph_scores(nodes, _snapshot_violations(spark, d), EXPECTED).drop("confidence")
+    nodes = table(spark, d, "graph_nodes")
+    scores = quality.graph_scores(nodes, property_violations(nodes, RULES, keep=["transform_id"]), EXPECTED)
+    return scores.withColumns({c: F.round(c, 6) for c in ("completeness", "confidence", "score")})

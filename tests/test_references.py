@@ -16,8 +16,8 @@ def found(spark, refs, nodes, **options):
 
 def test_reasons(spark):
     nodes = [("a", None, D(5), D(10)), ("a", None, D(12), None), ("b", None, D(20), None)]
-    refs = [("1", "a", None, D(4)), ("2", "a", None, D(5)), ("3", "a", None, D(10)), ("4", "a", None, D(11)), ("5", "a", None, D(30)), ("6", "b", None, D(1)), ("7", "z", None, D(1)), ("8", None, None, D(1)), ("9", "a", None, None)]
-    assert found(spark, refs, nodes, at="at", valid_from="f", valid_to="t") == [("1", "late"), ("3", "deleted"), ("4", "deleted"), ("6", "late"), ("7", "missing")]
+    refs = [("1", "a", None, D(4)), ("2", "a", None, D(5)), ("3", "a", None, D(10)), ("4", "a", None, D(11)), ("5", "a", None, D(30)), ("6", "b", None, D(1)), ("7", "z", None, D(1)), ("8", None, None, D(1)), ("9", "a", None, None), ("A", "z", None, None)]
+    assert found(spark, refs, nodes, at="at", valid_from="f", valid_to="t") == [("1", "late"), ("3", "deleted"), ("4", "deleted"), ("6", "late"), ("7", "missing"), ("A", "missing")]
 
 
 def test_empty_tables(spark):
@@ -45,3 +45,16 @@ def test_lifetimes_cover_the_whole_line_once(spark):
     assert {(r.begins, r.ends, r.state) for r in rows if r.id == "a"} == {(None, D(3), "late"), (D(3), D(9), "valid"), (D(9), D(15), "deleted"), (D(15), D(15), "valid"), (D(15), None, "deleted")}
     assert {(r.begins, r.ends, r.state) for r in lifetimes(v, ["id"], "f", "t").collect() if r.id == "b"} == {(None, D(2), "valid"), (D(2), None, "deleted")}
     assert {(r.begins, r.ends, r.state) for r in lifetimes(v, ["id"], "f", "t").collect() if r.id == "c"} == {(None, D(1), "late"), (D(1), None, "valid")}
+
+
+def test_versions_melt_across_quarters(spark):
+    months = [datetime(2023, m, 1) for m in range(1, 13)]
+    v = spark.createDataFrame([("a", f, t) for f, t in zip(months, [*months[1:], None])] * 2 + [("b", months[0], months[2]), ("b", months[5], months[11])], "id string, f timestamp, t timestamp")
+    rows = {(r.id, r.begins, r.ends, r.state) for r in lifetimes(v, ["id"], "f", "t").collect()}
+    assert rows == {("a", None, months[0], "late"), ("a", months[0], None, "valid"), ("b", None, months[0], "late"), ("b", months[0], months[2], "valid"), ("b", months[2], months[5], "deleted"), ("b", months[5], months[11], "valid"), ("b", months[11], None, "deleted")}
+
+
+def test_partial_keys_in_time(spark):
+    nodes = [("a", "x", D(5), D(10)), ("a", "y", D(12), None)]
+    refs = [("1", "a", None, D(11)), ("2", "a", None, D(13)), ("3", None, "y", D(6)), ("4", None, None, D(6)), ("5", "b", None, D(6))]
+    assert found(spark, refs, nodes, both=True, match="partial", at="at", valid_from="f", valid_to="t") == [("1", "deleted"), ("3", "late"), ("5", "missing")]

@@ -14,10 +14,13 @@ _written: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder. Where none is set, a folder of our own on one machine, as in tests; an error on a
+    cluster, whose executors would not see it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="weftgraph-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
@@ -36,7 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back. Survives lost executors, unlike a local checkpoint."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Deletes what ``cut`` wrote, once no plan reads it any more."""
+    discard(df.sparkSession, df.cut_path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

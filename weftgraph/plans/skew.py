@@ -18,8 +18,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Da
     The count is combined before its shuffle. The bound on the result is what allows a broadcast of it.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.join(F.broadcast(total)).where(F.col("_n") > F.greatest(F.lit(1000), F.col("_total") * share)).select(*keys)
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    return counts.where(F.col("_n") > F.greatest(F.lit(1000), total * share)).select(*keys)
 
 
 def salted_join(

@@ -65,7 +65,7 @@ firsts as (select id, min(valid_from) as first_from from versions group by id),
 cases as (select distinct r.table_name, r.field_name, r.record_id, strftime(r.created_at, '%Y-%m') as ref_month,
   case when f.id is null then 'missing' when f.first_from > r.created_at then 'late' else 'deleted' end as reason
   from refs r left join firsts f on f.id = r.ref
-  where r.ref <> '' and r.created_at is not null and not exists (select 1 from versions v where v.id = r.ref and v.valid_from <= r.created_at and (v.valid_to is null or r.created_at < v.valid_to)))
+  where r.ref <> '' and (r.created_at is not null or f.id is null) and not exists (select 1 from versions v where v.id = r.ref and v.valid_from <= r.created_at and (v.valid_to is null or r.created_at < v.valid_to)))
 """
 
 
@@ -79,4 +79,29 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(*(table(spark, sf_dir, t) for t in ("graph_edges", "claims", "graph_nodes", "production_nodes")))
 
 
+def _typed_orphans_sql(match: str) -> str:
+    refers = "u is not null and k is not null and ref is not null" if match == "simple" else "(u is not null or k is not null or ref is not null)"
+    agrees = "v.u = r.u and v.k = r.k and v.id = r.ref" if match != "partial" else "(r.u is null or v.u = r.u) and (r.k is null or v.k = r.k) and (r.ref is null or v.id = r.ref)"
+    partial = "when r.u is null or r.k is null or r.ref is null then 'partial_key'" if match == "full" else ""
+    return f"""with r as (select row_number() over () as n, * from (
+  select 'from_' as field_name, id as record_id, user_id as u, nullif(trim(source_type), '') as k, nullif(lower(trim(from_)), '') as ref, created_at as at from graph_edges
+  union select 'to_', id, user_id, nullif(trim(target_type), ''), nullif(lower(trim(to_)), ''), created_at from graph_edges) where {refers}),
+v as (select distinct user_id as u, nullif(trim(type_), '') as k, nullif(lower(trim(id)), '') as id, valid_from as f, valid_to as t from graph_nodes),
+m as (select r.n, min(v.f) as first_from, coalesce(bool_or(v.f <= r.at and (v.t is null or r.at < v.t)), false) as covered from r join v on {agrees} group by r.n)
+select distinct field_name, record_id, concat_ws(',', case when r.u is null then 'user_id' end, case when r.k is null then 'kind' end, case when r.ref is null then 'ref' end) as null_mask,
+  case {partial} when m.n is null then 'missing' when m.first_from > r.at then 'late' else 'deleted' end as reason
+from r left join m on m.n = r.n where not coalesce(m.covered, false) and (r.at is not null or m.n is null)"""
+
+
+def _typed_orphans(match: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return references.typed_orphans(table(spark, sf_dir, "graph_edges"), table(spark, sf_dir, "graph_nodes"), match)
+
+    return run
+
+
+for _match in references.MATCHES:
+    query(f"p4_{_match}", _typed_orphans_sql(_match))(_typed_orphans(_match))
+
+
 from weftgraph import queries_cascade, queries_graph, queries_quality, queries_resolution, queries_text  # noqa: E402,F401

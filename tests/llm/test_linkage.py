@@ -1,4 +1,6 @@
-from weftgraph.llm.linkage import BUCKET_NODES, MinHash, bands_for, candidate_pairs, collision, common_words, padded_grams, same_entity_pairs
+import random
+
+from weftgraph.llm.linkage import BUCKET_NODES, TARGET_RECALL, TARGET_SIMILARITY, MinHash, bands_for, candidate_pairs, collision, common_words, padded_grams, same_entity_pairs, spellings_of_one_record, star_clusters
 from weftgraph.llm.names import Form, canonical_form, edits, parse_organisation, parse_person, similarity
 
 COMMON = frozenset({"anthony", "abigail", "robert", "roberta", "logistics", "group", "systems", "university"})
@@ -86,3 +88,43 @@ def test_given_names_are_told_at_any_size(spark):
         return common_words(df)["Person"]
 
     assert given(1000) == given(8000) == {"farid"}
+
+
+def test_measured_recall_of_planted_variants_whatever_the_bucket_limit(spark):
+    rng = random.Random(5)
+    letters = "abcdefghiklmnoprstuvz"
+    # Family names of 6 to 10 letters, each with two variants of one or two typing errors beside the same initial.
+    pairs, forms = {}, {}
+    for k in range(300):
+        word = "".join(rng.choice(letters) for _ in range(rng.randrange(6, 11)))
+        own = [word]
+        for _ in range(2):
+            w = list(word)
+            for _ in range(rng.randrange(1, 3)):
+                at = rng.randrange(len(w))
+                w[at] = rng.choice(letters)
+            own.append("".join(w))
+        for w in own:
+            forms[w] = f"{w}|anna||F"
+        for i, x in enumerate(own):
+            for y in own[i + 1 :]:
+                gx, gy = padded_grams(x), padded_grams(y)
+                if x != y and len(gx & gy) / len(gx | gy) >= TARGET_SIMILARITY:
+                    pairs[forms[x], forms[y]] = True
+    df = spark.createDataFrame([("u", "Person", f, "") for f in sorted(set(forms.values()))], "user_id string, type string, form string, acronym string").selectExpr("*", "xxhash64(type, form) as node")
+    found = [{tuple(r) for r in candidate_pairs(df, bands_for(), n).collect()} for n in (5, BUCKET_NODES)]
+    assert found[0] == found[1]
+    at = {r.form: r.node for r in df.collect()}
+    hit = sum((min(at[x], at[y]), max(at[x], at[y])) in found[1] for x, y in pairs)
+    assert len(pairs) > 300 and hit / len(pairs) >= TARGET_RECALL - 0.02
+
+
+def test_all_spellings_of_a_record_are_tied_and_long_chains_settle(spark):
+    members = spark.createDataFrame([("u", "Person", "1", n) for n in (5, 3, 9, 3)] + [("u", "Person", "2", 3)], "user_id string, type string, id string, node long")
+    assert {(r.a, r.b) for r in spellings_of_one_record(members).collect()} == {(3, 5), (3, 9)}
+    # A chain whose ranks fall from end to end: one centre a round.
+    n = 65
+    nodes = spark.createDataFrame([(i, True, n - i) for i in range(n)], "node long, full boolean, size int")
+    links = spark.createDataFrame([(i, i + 1, 0.9) for i in range(n - 1)], "a long, b long, score double")
+    got = {r.node: r.center for r in star_clusters(nodes, links).collect()}
+    assert all(got[i] == i - i % 2 for i in range(n - 1))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import names
 from weftgraph.llm.names import THRESHOLD, Form, canonical_form, context_score, parse_organisation, parse_person, similarity
-from weftgraph.plans.lineage import cut
+from weftgraph.plans.lineage import cut, drop_cut
 from weftgraph.plans.workers import by_value
 
 by_value(__name__)
@@ -161,7 +161,7 @@ def _summary(members: DataFrame) -> DataFrame:
 BUCKET_NODES = 400
 
 
-def candidate_pairs(members: DataFrame, bands: int) -> DataFrame:
+def candidate_pairs(members: DataFrame, bands: int, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
     """(a, b) with a < b: nodes of one user and type that share a band of some rare word and an initial beside it.
 
     An acronym meets the forms that it abbreviates.
@@ -183,20 +183,20 @@ def candidate_pairs(members: DataFrame, bands: int) -> DataFrame:
             yield pd.DataFrame({"key": np.array(key, np.int64), "node": pdf["node"].to_numpy()[at]})
 
     keyed = cut(nodes.mapInPandas(keys, "key long, node long"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_NODES)
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_nodes)
     left = right = keyed
     if crowded.take(1):
-        left, right = _in_blocks(keyed, cut(crowded))
+        left, right = _in_blocks(keyed, cut(crowded), bucket_nodes)
     met = left.join(right.select("key", F.col("node").alias("b")), "key").where(F.col("node") < F.col("b"))
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
-def _in_blocks(keyed: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _in_blocks(keyed: DataFrame, crowded: DataFrame, bucket_nodes: int) -> tuple[DataFrame, DataFrame]:
     """The smaller and the larger nodes of pairs, by key. A crowded key becomes one for each two of its blocks.
 
     Blocks are ranges of the node's hash: the smaller node of a pair is in the same block as the larger or in one before.
     """
-    blocks = F.ceil(F.col("n") / BUCKET_NODES)
+    blocks = F.ceil(F.col("n") / bucket_nodes)
     place = F.floor((F.col("node") / 2.0**64 + 0.5) * F.col("blocks"))
     large = keyed.join(crowded, "key").withColumn("blocks", blocks).withColumn("block", F.least(place, F.col("blocks") - 1))
     rest = keyed.join(crowded, "key", "left_anti")
@@ -254,12 +254,16 @@ def _may_link(a: Form, b: Form, context_a: tuple, context_b: tuple) -> bool:
     return a.full or b.full or a.acronym or b.acronym or a.text == b.text or context_score(context_a, context_b) >= 0
 
 
-def star_clusters(nodes: DataFrame, links: DataFrame, max_rounds: int = 30) -> DataFrame:
+#: Each round settles the best-ranked free node of every connected part at least; more rounds than this mean an error.
+MOST_ROUNDS = 1000
+
+
+def star_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, center) of each node that has a link.
 
     Nodes are ranked by completeness, size, and number. In each round the free nodes that outrank all free neighbours become
     centres, and every free neighbour of a centre joins the centre most similar to it. Rounds end when no link
-    joins two free nodes; what is then free stands alone.
+    joins two free nodes; what is then free stands alone. Each round's table of free links replaces the one before it.
     """
     spark = nodes.sparkSession
     rank = F.struct(F.col("full"), F.col("size"), F.col("node"))
@@ -267,31 +271,38 @@ def star_clusters(nodes: DataFrame, links: DataFrame, max_rounds: int = 30) -> D
     two_way = links.select("a", "b", "score").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).groupBy("a", "b").agg(F.max("score").alias("score"))
     free = cut(two_way.join(ranked.select(F.col("node").alias("a"), F.col("rank").alias("rank_a")), "a").join(ranked.select(F.col("node").alias("b"), F.col("rank").alias("rank_b")), "b"))
     parts = []
-    for _ in range(max_rounds):
-        if not free.take(1):
-            break
+    while free.take(1):
+        if len(parts) == MOST_ROUNDS:
+            raise RuntimeError(f"star clustering did not settle within {MOST_ROUNDS} rounds")
         tops = free.groupBy("a").agg(F.max("rank_b").alias("most"), F.first("rank_a").alias("rank")).where(F.col("rank") > F.col("most")).select("a")
         stars = free.join(tops.withColumnRenamed("a", "b"), "b", "left_semi").groupBy("a").agg(F.max_by("b", F.struct("score", "rank_b")).alias("center"))
         placed = cut(stars.select(F.col("a").alias("node"), "center").unionByName(tops.select(F.col("a").alias("node"), F.col("a").alias("center"))))
         parts.append(placed)
         gone = placed.select("node")
-        free = cut(free.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
+        left = cut(free.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
+        drop_cut(free)
+        free = left
     out = spark.createDataFrame([], "node long, center long")
     for p in parts:
         out = out.unionByName(p)
     return out
 
 
+def spellings_of_one_record(members: DataFrame) -> DataFrame:
+    """(a, b, score): each further spelling of a record with its first one, however many there are."""
+    own = members.select("user_id", "type", "id", "node").distinct()
+    first = F.min("node").over(Window.partitionBy("user_id", "type", "id"))
+    return own.select(first.alias("a"), F.col("node").alias("b")).where("a <> b").distinct().select("a", "b", F.lit(1.0).alias("score"))
+
+
 def linked_records(records: DataFrame) -> DataFrame:
-    """(center, id): the records of each entity. A record whose two typed names fell to different entities is in both."""
+    """(center, id): the records of each entity. A record whose typed names fell to different entities is in each of them."""
     typed = cut(typed_names(records))
     common = common_words(typed)
     members = cut(_with_node(name_nodes(typed, contexts(records), common)))
     nodes = cut(_summary(members))
     links = verified_links(candidate_pairs(members, bands_for()), nodes, common)
-    # Both names of one record are spellings of one entity.
-    own = members.groupBy("user_id", "type", "id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b", F.lit(1.0).alias("score"))
-    stars = star_clusters(nodes, cut(links.unionByName(own)))
+    stars = star_clusters(nodes, cut(links.unionByName(spellings_of_one_record(members))))
     return members.select("node", "id").distinct().join(stars, "node", "left").select(F.coalesce("center", "node").alias("center"), "id").distinct()
 
 
@@ -309,3 +320,10 @@ def same_entity_pairs(records: DataFrame) -> DataFrame:
 def entity_sizes(records: DataFrame) -> DataFrame:
     """(entity, n_records): the smallest id of each entity and the number of its records."""
     return linked_records(records).groupBy("center").agg(F.min("id").alias("entity"), F.count(F.lit(1)).alias("n_records")).drop("center")
+
+
+def entity_members(records: DataFrame) -> DataFrame:
+    """(id, entity): each record that has a name, with the smallest id of its entity; copies and variants are not paired up."""
+    clusters = cut(linked_records(records))
+    named = clusters.groupBy("center").agg(F.min("id").alias("entity"))
+    return clusters.join(named, "center").select("id", "entity").distinct()

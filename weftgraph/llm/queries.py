@@ -79,6 +79,11 @@ def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.entity_sizes(table(spark, sf_dir, "expected_nodes"))
 
 
+@query("p5_members")
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.entity_members(table(spark, sf_dir, "expected_nodes"))
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted once and cut into the shared folder: an id, a source and a number each."""
     return cut(mixing.with_tokens(table(spark, sf_dir, "documents")))

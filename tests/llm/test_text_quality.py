@@ -2,8 +2,8 @@ import random
 
 import numpy as np
 
-from weftgraph.llm.prose import COMMON, Neighbours, line_kinds, text_statistics
-from weftgraph.llm.text_quality import fitted_statistics, not_prose
+from weftgraph.llm.prose import COMMON, STATISTICS, Neighbours, line_kinds, text_statistics
+from weftgraph.llm.text_quality import SENSELESS, fitted_statistics, not_prose
 
 PROSE = ["The office in the north has not yet said who paid for the boxes, and so the matter was put off.", "It was the third time that the same case had come before the court, which was no surprise to them.", "Nobody on the ward knew which of the tablets was the real one until the code was broken by the team.", "They asked both sides to explain why the clause had never been read before it was signed by the board."]
 LIST = "\n".join(f"- valve Nor{i}\n- pump Sel{i}" for i in range(8))
@@ -45,7 +45,14 @@ def test_neighbours_tell_order_from_shuffle():
     n.fit({"en": np.bincount(n.cells(words, "en"), minlength=size)})
     mixed = words[:]
     random.Random(1).shuffle(mixed)
-    assert n.mean(words, "en") > 0.3 > n.mean(mixed, "en") and n.mean([], "en") == 0 and "the" in COMMON["en"]
+    def mean(*texts):
+        each = [np.unique(n.cells(t, "en"), return_counts=True) for t in texts]
+        starts = np.cumsum([0, *(len(c) for c, _ in each[:-1])])
+        return n.means("en", np.concatenate([c for c, _ in each]), np.concatenate([k for _, k in each]), starts, np.array([len(t) for t in texts]))
+
+    both = mean(words, mixed)
+    assert both[0] > 0.3 > both[1] and "the" in COMMON["en"]
+    assert abs(both[0] - mean(words)[0]) < 1e-9 and mean(["x"])[0] == 0
 
 
 def test_long_and_odd_texts():
@@ -56,7 +63,24 @@ def test_long_and_odd_texts():
 def test_a_sentence_does_not_hide_a_table(spark):
     table = "\n".join(f"{i}\t{i * 17 % 90}.25\t{i * 31 % 700}\t{i * 7 % 100} %" for i in range(20))
     text = PROSE[1] + "\n\n" + table
-    lang, _, stats, chars, _ = text_statistics(text, Neighbours())
-    assert lang == "en" and chars["table"] > chars["prose"] > 0 and stats[9] > 0.5
+    lang, _, stats, chars, _, _ = text_statistics(text, Neighbours())
+    assert lang == "en" and chars["table"] > chars["prose"] > 0 and stats[STATISTICS.index("common_line_characters")] < 0.5
     df = spark.createDataFrame(docs() + [(2000, text, "x")], "doc_id bigint, text string, kind string")
     assert {r.doc_id: r.kind for r in not_prose(df).collect()}.get(2000) == "table"
+
+
+def test_the_distance_decides(spark):
+    df = spark.createDataFrame(docs(), "doc_id bigint, text string, kind string")
+    assert not_prose(df, outlying=float("inf")).count() == 0
+    # Words without order are told from sentences by what their neighbours contribute, whatever their lines look like.
+    s = {r.doc_id: r for r in fitted_statistics(df).collect()}
+    assert s[1003].prose_chars > 0 == s[1003].list_chars + s[1003].table_chars + s[1003].junk_chars and not s[1003].broken
+    worst = sorted(range(len(STATISTICS)), key=lambda i: -s[1003].contributions[i])[:3]
+    assert STATISTICS.index("neighbour_fit") in worst and s[1003].senseless > SENSELESS > s[0].senseless
+    assert not any(x in STATISTICS for x in ("list_lines", "table_lines", "junk_lines"))
+
+
+def test_repeated_rows_and_few_documents(spark):
+    rows = [(1, PROSE[0], "x"), (1, PROSE[0], "x"), (2, LIST, "x"), (3, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
+    assert {(r.doc_id, r.kind) for r in not_prose(df).collect()} >= {(3, "junk")}

@@ -157,7 +157,12 @@ def _lower_words(text: str) -> list[str]:
 
 
 def line_kinds(text: str, share: float, by_line: list[list[str]] | None = None) -> dict[str, int]:
-    """Characters (without white space) of the text in prose, list, table and junk lines.
+    """Characters (without white space) of the text in prose, list, table and junk lines; see ``told_lines``."""
+    return told_lines(text, share, by_line)[0]
+
+
+def told_lines(text: str, share: float, by_line: list[list[str]] | None = None) -> tuple[dict[str, int], int]:
+    """(characters without white space by kind of line, characters of the lines with several common words).
 
     share: the text's share of common words. by_line: words_by_line(text), if known. A line with several common words is prose; other lines are told by
     their form; a line without any form takes the kind of its neighbours.
@@ -165,13 +170,19 @@ def line_kinds(text: str, share: float, by_line: list[list[str]] | None = None)
     chars = dict.fromkeys(KINDS, 0)
     lines = text.splitlines()
     words = words_by_line(text) if by_line is None else by_line
-    size, shared, plain = [], [], []
+    size, shared, plain, whole = [], [], [], "<" not in text
+    code = "{{" in text or "{%" in text
     for line, w in zip(lines, words):
         n = sum(map(ANY_COMMON.__contains__, w))
         s = n / len(w) if w else 0.0
         size.append(sum(map(len, line.split())))
         shared.append(s)
-        plain.append(n >= 2 and s >= 0.2 and len(w) >= 5)
+        plain.append(n >= 2 and s >= 0.2 and len(w) >= 5 and not (code and ("{{" in line or "{%" in line)))
+        whole = whole and (plain[-1] and len(w) >= 8 or not size[-1])
+    plain_chars = sum(n for n, p in zip(size, plain) if p)
+    if whole:  # long lines of common words only: no rule below would call any of them something else
+        chars["prose"] = plain_chars
+        return chars, plain_chars
     tables = _table_lines(lines, plain)
     order = [i for i, s in enumerate(size) if s]
     kinds: dict[int, str] = {}
@@ -220,13 +231,13 @@ def line_kinds(text: str, share: float, by_line: list[list[str]] | None = None)
         n = m + 1
     for i in order:
         chars[kinds[i]] += size[i]
-    return chars
+    return chars, plain_chars
 
 
-#: The statistics of a text, in order.
+#: The statistics of a text, in order. None of them says what kind of line the text is made of.
 STATISTICS = (
     "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines_ending_in_punctuation", "common_words", "neighbour_fit",
-    "packed_size", "list_lines", "table_lines", "junk_lines", "odd_characters",
+    "packed_size", "odd_characters", "log_words_a_line", "common_line_characters", "gap_ratio",
 )
 #: Below this share of common words a text's language can't be told from it.
 LANGUAGE_SHARE = 0.15
@@ -260,27 +271,33 @@ class Neighbours:
             self.table[lang] = np.log(given / follow).ravel()
         return self
 
-    def mean(self, words: list[str], lang: str) -> float:
-        """Mean fit of the neighbours, drawn towards 0 in short texts."""
-        table = self.table.get(lang)
-        if table is None or len(words) < 2:
-            return 0.0
-        return float(table[self.cells(words, lang)].sum() / (len(words) + 9))
+    def means(self, lang: str, cells: np.ndarray, counts: np.ndarray, starts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """Mean fit of the neighbours of texts of one language, drawn towards 0 in short ones.
 
-
-def words_of(text: str) -> tuple[list[str], str, float]:
-    """Lower-case words, language ('und' if it can't be told) and share of common words."""
-    words = _lower_words(text)
-    return words, *told_language(words)
+        cells and counts of all the texts in a row, each from its place in starts on.
+        """
+        table = self.table.get(lang)
+        if table is None or not len(cells):
+            return np.zeros(len(n_words))
+        total = np.concatenate([[0.0], np.cumsum(table[cells] * counts)])
+        ends = np.append(starts[1:], len(cells))
+        return (total[ends] - total[starts]) / (n_words + 9)
 
 
 def told_language(words: list[str]) -> tuple[str, float]:
+    """Language ('und' if it can't be told) and share of common words."""
     lang, share = language(Counter(filter(ANY_COMMON.__contains__, words)), len(words))
     return lang if share >= LANGUAGE_SHARE else "und", share
 
 
-def text_statistics(text: str | None, neighbours: Neighbours) -> tuple[str, int, list[float], dict[str, int], bool]:
-    """(language, words, statistics, characters by kind of line, whether the whole text is broken or repeats itself)."""
+NO_CELLS = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
+def text_statistics(text: str | None, neighbours: Neighbours) -> tuple[str, int, list[float], dict[str, int], bool, tuple[np.ndarray, np.ndarray]]:
+    """(language, words, statistics, characters by kind of line, whether the text is broken or repeats itself, its neighbours).
+
+    neighbour_fit is left at 0: it follows from the neighbours (cells and how often each occurs) once all texts are counted.
+    """
     text = text or ""
     by_line = words_by_line(text)
     words = list(chain.from_iterable(by_line))
@@ -289,19 +306,17 @@ def text_statistics(text: str | None, neighbours: Neighbours) -> tuple[str, int,
     size = sum(map(len, text.split()))
     odd = _odd_share(text, size)
     raw = text.encode("utf-8", "replace")
-    packed = len(zlib.compress(raw, 1)) / len(raw) if len(raw) >= 100 else 0.5
-    broken = odd > ODD_SHARE or (packed < REPEATED and n >= REPEATED_WORDS)
-    if broken or not size:
-        chars = dict.fromkeys(KINDS, 0) | {"junk": size}
-    else:
-        chars = line_kinds(text, share, by_line)
-    whole = max(1, sum(chars.values()))
+    packed = min(1.0, len(zlib.compress(raw, 1)) / len(raw)) if raw else 0.0
+    broken = odd > ODD_SHARE or (packed < REPEATED and n >= REPEATED_WORDS and len(raw) >= 100)
+    chars, plain = told_lines(text, share, by_line) if size else (dict.fromkeys(KINDS, 0), 0)
     letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
     lines = [x for x in text.splitlines() if x.strip()]
     ending = sum(x.rstrip()[-1] in ENDINGS for x in lines) / len(lines) if lines else 0.0
+    gaps = text.count("\t") + text.count("  ")
     stats = [
         float(np.log1p(n)), letters / n if n else 0.0, max(0, size - letters - digits) / size if size else 0.0, digits / size if size else 0.0, ending, share,
-        neighbours.mean(words, lang) if lang != "und" else 0.0, packed, chars["list"] / whole, chars["table"] / whole, chars["junk"] / whole, min(1.0, odd),
+        0.0, packed, min(1.0, odd), float(np.log1p(n / max(1, len(lines)))), plain / size if size else 0.0, gaps / len(text) if text else 0.0,
     ]
-    return lang, n, stats, chars, broken
+    cells = np.unique(neighbours.cells(words, lang), return_counts=True) if lang != "und" and n > 1 else NO_CELLS
+    return lang, n, stats, chars, broken, cells

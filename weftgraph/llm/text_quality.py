@@ -1,8 +1,9 @@
 """Per-document text statistics, and how far a document lies from its language's prose.
 
-Location and scatter of prose are fitted for each language over all documents, robustly: from quartiles first, then
-from the documents near enough, again and again. The squared Mahalanobis distance splits exactly into one contribution
-a statistic.
+Texts are read once. Location and scatter of prose are then fitted for each language over all documents, robustly: from quartiles
+first, then from the documents near enough, again and again. The squared Mahalanobis distance splits exactly into one
+contribution a statistic. It decides which documents are prose; of the outliers, the form of the lines tells lists and
+tables, and the contributions tell sentences from words strung together.
 """
 
 from __future__ import annotations
@@ -11,23 +12,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import prose
-from weftgraph.llm.prose import KINDS, LANGUAGES, STATISTICS, Neighbours, text_statistics, words_of
-from weftgraph.plans.lineage import cut
+from weftgraph.llm.prose import KINDS, STATISTICS, Neighbours, text_statistics
+from weftgraph.plans.lineage import cut, drop_cut
 from weftgraph.plans.workers import by_value
 
 by_value(__name__)
 by_value(prose.__name__)
 
 P = len(STATISTICS)
-#: Least scale of each statistic, so that one that never varies in prose doesn't rule the distance.
-LEAST_SCALE = np.array([0.4, 0.25, 0.02, 0.02, 0.15, 0.03, 0.06, 0.05, 0.04, 0.04, 0.04, 0.004])
-#: Languages with fewer documents share one fit over all languages.
-LEAST_DOCUMENTS = 100
-ROUNDS = 3
+#: A statistic's scale in prose counts as this part of its scale over all documents at least: one that never varies in
+#: prose would rule the distance otherwise.
+LEAST_PART = 0.05
+#: A language's fit is drawn towards the fit over all languages as if by so many documents more.
+PRIOR_DOCUMENTS = 100
+ROUNDS = 4
 POOLED = "*"
 
 
@@ -36,28 +39,49 @@ def chi_square_quantile(p: int, z: float) -> float:
     return p * (1 - 2 / (9 * p) + z * (2 / (9 * p)) ** 0.5) ** 3
 
 
-#: Documents within this distance (97.5 %) take part in the next fit; beyond OUTLYING (99.9 %) one is an outlier.
-NEAR, OUTLYING = chi_square_quantile(P, 1.96), chi_square_quantile(P, 3.09)
+#: Documents within this distance (97.5 %) take part in the next fit; beyond OUTLYING (99.9 %) one is no plain prose; beyond
+#: SENSELESS (all but one in a million) by the statistics in BROKEN alone, one makes no sense as sentences.
+NEAR, OUTLYING, SENSELESS = chi_square_quantile(P, 1.96), chi_square_quantile(P, 3.09), chi_square_quantile(P, 4.75)
+#: Statistics that words without order, repetition and broken characters move, and to which side.
+BROKEN = {"neighbour_fit": -1, "packed_size": -1, "odd_characters": 1}
 
+RAW_SCHEMA = "doc_id bigint, lang string, n_words int, stats array<double>, " + ", ".join(f"{k}_chars bigint" for k in KINDS) + ", broken boolean"
 
-def fit_neighbours(documents: DataFrame, text: str = "text") -> Neighbours:
-    """Counts neighbours over all texts. The table on the driver has a fixed size: languages x (common words)^2."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """One Arrow list a part."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+
+
+def measured_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: RAW_SCHEMA and the neighbours of its common words (cells, counts). The only pass over the texts."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Neighbours()
-        total = {lang: np.zeros((len(known.place[lang]) + 1) ** 2, np.int64) for lang in LANGUAGES}
-        for pdf in batches:
-            for t in pdf["text"]:
-                words, lang, _ = words_of(t or "")
-                if lang != "und" and len(words) > 1:
-                    cells = known.cells(words, lang)
-                    np.add.at(total[lang], cells, 1)
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            if len(at):
-                yield pd.DataFrame({"lang": lang, "cell": at.astype(np.int32), "n": n[at]})
-
-    counted = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+        for batch in batches:
+            rows = [text_statistics(t, known) for t in batch.column("text").to_pylist()]
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "lang": pa.array([r[0] for r in rows], pa.string()),
+                "n_words": pa.array([r[1] for r in rows], pa.int32()),
+                "stats": _lists([np.array(r[2]) for r in rows], pa.float64()),
+                **{f"{k}_chars": pa.array([r[3][k] for r in rows], pa.int64()) for k in KINDS},
+                "broken": pa.array([r[4] for r in rows], pa.bool_()),
+                "cells": _lists([r[5][0] for r in rows], pa.int32()),
+                "counts": _lists([r[5][1] for r in rows], pa.int32()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    own = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return own.mapInArrow(measure, RAW_SCHEMA + ", cells array<int>, counts array<int>")
+
+
+def fit_neighbours(measured: DataFrame) -> Neighbours:
+    """Neighbours counted over all texts. The table on the driver has a fixed size: languages x (common words)^2."""
+    pairs = measured.where("lang <> 'und'").select("lang", F.explode(F.arrays_zip("cells", "counts")).alias("e"))
+    counted = pairs.groupBy("lang", F.col("e.cells").alias("cell")).agg(F.sum("e.counts").alias("n")).toPandas()
     known = Neighbours()
     tables = {}
     for lang, own in counted.groupby("lang"):
@@ -67,32 +91,44 @@ def fit_neighbours(documents: DataFrame, text: str = "text") -> Neighbours:
     return known.fit(tables)
 
 
-STATS_SCHEMA = "doc_id bigint, lang string, n_words int, stats array<double>, " + ", ".join(f"{k}_chars bigint" for k in KINDS) + ", broken boolean"
-
-
-def document_statistics(documents: DataFrame, neighbours: Neighbours, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document with its language, statistics and characters by kind of line, from the whole text."""
+def with_neighbour_fit(measured: DataFrame, neighbours: Neighbours) -> DataFrame:
+    """RAW_SCHEMA with neighbour_fit filled in; the neighbours are no longer needed."""
+    at = STATISTICS.index("neighbour_fit")
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [text_statistics(t, neighbours) for t in pdf["text"]]
-            out = {"doc_id": pdf["doc_id"], "lang": [r[0] for r in rows], "n_words": np.array([r[1] for r in rows], np.int32), "stats": [r[2] for r in rows]}
-            out |= {f"{k}_chars": [r[3][k] for r in rows] for k in KINDS} | {"broken": [r[4] for r in rows]}
-            yield pd.DataFrame(out)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, langs = batch.num_rows, np.array(batch.column("lang").to_pylist(), object)
+            stats = np.array(batch.column("stats").flatten()).reshape(n, P).copy()
+            cells, counts = np.array(batch.column("cells").flatten()), np.array(batch.column("counts").flatten())
+            starts = np.array(batch.column("cells").offsets)[:n] - batch.column("cells").offsets[0].as_py()
+            sizes = np.diff(np.append(starts, len(cells)))
+            words = np.array(batch.column("n_words"))
+            for lang in set(langs) - {"und"}:
+                rows = np.flatnonzero(langs == lang)
+                take = np.concatenate([np.arange(starts[r], starts[r] + sizes[r]) for r in rows]).astype(int)
+                own = np.concatenate([[0], np.cumsum(sizes[rows])])[:-1]
+                stats[rows, at] = neighbours.means(lang, cells[take], counts[take], own, words[rows])
+            columns = {name: batch.column(name) for name in batch.schema.names if name not in ("stats", "cells", "counts")}
+            columns["stats"] = pa.ListArray.from_arrays(pa.array(np.arange(0, n * P + 1, P), pa.int32()), pa.array(stats.ravel()))
+            yield pa.RecordBatch.from_pydict({f.split()[0]: columns[f.split()[0]] for f in RAW_SCHEMA.split(", ")})
 
-    return documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(measure, STATS_SCHEMA)
+    return measured.mapInArrow(fill, RAW_SCHEMA)
 
 
 class ProseFit:
-    """Mean and inverse covariance of prose by language; POOLED serves the languages with few documents."""
+    """Mean and inverse covariance of prose by language; POOLED, over all languages, serves texts whose language is unknown."""
 
-    def __init__(self) -> None:
+    def __init__(self, least: np.ndarray) -> None:
+        self.least = least
         self.mean: dict[str, np.ndarray] = {}
         self.inverse: dict[str, np.ndarray] = {}
 
-    def set(self, lang: str, mean: np.ndarray, covariance: np.ndarray) -> None:
-        self.mean[lang] = mean
-        self.inverse[lang] = np.linalg.inv(covariance + np.diag(LEAST_SCALE**2))
+    def set(self, sizes: dict[str, float], means: dict[str, np.ndarray], covariances: dict[str, np.ndarray]) -> None:
+        """Each language drawn towards POOLED by PRIOR_DOCUMENTS, alike at every size."""
+        for lang, n in sizes.items():
+            w = 1.0 if lang == POOLED else n / (n + PRIOR_DOCUMENTS)
+            self.mean[lang] = w * means[lang] + (1 - w) * means[POOLED]
+            self.inverse[lang] = np.linalg.inv(w * covariances[lang] + (1 - w) * covariances[POOLED] + np.diag(self.least**2))
 
     def contributions(self, lang: str, stats: np.ndarray) -> np.ndarray:
         """For rows of statistics of one language, the parts of the squared distance: they add up to it."""
@@ -100,31 +136,39 @@ class ProseFit:
         off = stats - self.mean[own]
         return off * (off @ self.inverse[own])
 
+    def senseless(self, lang: str, stats: np.ndarray, contributions: np.ndarray) -> np.ndarray:
+        """Of the distance, what the statistics in BROKEN contribute to their side."""
+        off = stats - self.mean[lang if lang in self.mean else POOLED]
+        at, side = [STATISTICS.index(s) for s in BROKEN], np.array(list(BROKEN.values()))
+        return np.where(off[:, at] * side > 0, contributions[:, at], 0.0).sum(1)
+
 
 def fit_prose(stats: DataFrame) -> ProseFit:
     """Robust fit over all documents whose language can be told. Only sums of fixed size reach the driver."""
+    columns = [F.col("stats")[i].alias(f"s{i}") for i in range(P)]
+    spread = stats.where("n_words > 0").select(*columns).agg(*(F.stddev_pop(f"s{i}").alias(f"d{i}") for i in range(P))).first()
+    least = np.array([max(LEAST_PART * (spread[i] or 0.0), 1e-6) for i in range(P)])
     told = stats.where("lang <> 'und'")
     groups = F.explode(F.array(F.col("lang"), F.lit(POOLED)))
-    quartiles = told.select(groups.alias("g"), *(F.col("stats")[i].alias(f"s{i}") for i in range(P))).groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f"s{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(P))).collect()
-    fit = ProseFit()
-    enough = {r.g for r in quartiles if r.n >= LEAST_DOCUMENTS} | {POOLED}
-    for r in quartiles:
-        if r.g in enough:
-            q = np.array([r[f"q{i}"] for i in range(P)])
-            fit.set(r.g, q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))
+    quartiles = told.select(groups.alias("g"), *columns).groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f"s{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(P))).collect()
+    fit = ProseFit(least)
     if not quartiles:
-        fit.set(POOLED, np.zeros(P), np.eye(P))
+        fit.set({POOLED: 1}, {POOLED: np.zeros(P)}, {POOLED: np.eye(P)})
         return fit
+    q = {r.g: np.array([r[f"q{i}"] for i in range(P)]) for r in quartiles}
+    fit.set({r.g: r.n for r in quartiles}, {g: x[:, 1] for g, x in q.items()}, {g: np.diag(((x[:, 2] - x[:, 0]) / 1.349) ** 2) for g, x in q.items()})
     for _ in range(ROUNDS):
-        for lang, total in _near_sums(told, fit, enough).items():
-            n, s, ss = total[0], total[1 : P + 1], total[P + 1 :].reshape(P, P)
-            if n > P * 2:
-                mean = s / n
-                fit.set(lang, mean, ss / n - np.outer(mean, mean))
+        sums = _near_sums(told, fit)
+        sums[POOLED] = sum(sums.values()) if sums else np.zeros(1)
+        if sums[POOLED][0] <= 2 * P:  # too few to tell a scatter from
+            break
+        sizes = {g: v[0] for g, v in sums.items() if v[0]}
+        means = {g: sums[g][1 : P + 1] / n for g, n in sizes.items()}
+        fit.set(sizes, means, {g: sums[g][P + 1 :].reshape(P, P) / n - np.outer(means[g], means[g]) for g, n in sizes.items()})
     return fit
 
 
-def _near_sums(stats: DataFrame, fit: ProseFit, enough: set[str]) -> dict[str, np.ndarray]:
+def _near_sums(stats: DataFrame, fit: ProseFit) -> dict[str, np.ndarray]:
     """By language, count, sums and sums of products of the documents near the fit."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,9 +176,8 @@ def _near_sums(stats: DataFrame, fit: ProseFit, enough: set[str]) -> dict[str, n
         for pdf in batches:
             for lang, own in pdf.groupby("lang"):
                 x = np.stack(own["stats"].to_numpy())
-                for g in {lang if lang in enough else POOLED, POOLED}:
-                    near = x[fit.contributions(g, x).sum(1) <= NEAR]
-                    total[g] = total.get(g, 0) + np.concatenate([[len(near)], near.sum(0), (near.T @ near).ravel()])
+                near = x[fit.contributions(lang, x).sum(1) <= NEAR]
+                total[lang] = total.get(lang, 0) + np.concatenate([[len(near)], near.sum(0), (near.T @ near).ravel()])
         for g, v in total.items():
             yield pd.DataFrame({"g": g, "i": np.arange(len(v), dtype=np.int32), "v": v})
 
@@ -143,55 +186,54 @@ def _near_sums(stats: DataFrame, fit: ProseFit, enough: set[str]) -> dict[str, n
 
 
 def outlierness(stats: DataFrame, fit: ProseFit) -> DataFrame:
-    """Adds distance2, the squared robust distance, and contributions, its parts in the order of STATISTICS."""
+    """Adds distance2, the squared robust distance, contributions, its parts in the order of STATISTICS, and senseless, the
+    part of BROKEN in it."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = np.zeros((len(pdf), P))
+            parts, broken = np.zeros((len(pdf), P)), np.zeros(len(pdf))
             for lang, at in pdf.groupby("lang").indices.items():
-                parts[at] = fit.contributions(lang, np.stack(pdf["stats"].to_numpy()[at]))
-            yield pdf.assign(distance2=parts.sum(1), contributions=list(parts), fit_floor=[_lowest_fit(fit, lang) for lang in pdf["lang"]])
-
-    return stats.mapInPandas(measure, STATS_SCHEMA + ", distance2 double, contributions array<double>, fit_floor double")
-
-
-#: A text of at least so many words whose neighbours fit less than this part as well as in prose is shuffled.
-#: Chance moves the mean fit of short texts, for which the bound is lowered by SHUFFLED_SLACK over their words.
-SHUFFLED_WORDS, SHUFFLED_PART, SHUFFLED_SLACK = 12, 0.15, 2.0
+                x = np.stack(pdf["stats"].to_numpy()[at])
+                parts[at] = fit.contributions(lang, x)
+                broken[at] = fit.senseless(lang, x, parts[at])
+            yield pdf.assign(distance2=parts.sum(1), contributions=list(parts), senseless=broken)
 
-
-def _lowest_fit(fit: ProseFit, lang: str) -> float:
-    return float(SHUFFLED_PART * fit.mean[lang if lang in fit.mean else POOLED][STATISTICS.index("neighbour_fit")])
+    return stats.mapInPandas(measure, RAW_SCHEMA + ", distance2 double, contributions array<double>, senseless double")
 
 
 def fitted_statistics(documents: DataFrame) -> DataFrame:
-    """Statistics, distance and contributions of every document. The statistics are cut into the shared folder, so
-    that texts are read twice only: to count neighbours, and to measure."""
-    stats = cut(document_statistics(documents, fit_neighbours(documents)))
+    """Statistics, distance and contributions of every document, from one pass over the texts: what it measures is cut into
+    the shared folder."""
+    measured = cut(measured_texts(documents))
+    stats = cut(with_neighbour_fit(measured, fit_neighbours(measured)))
+    drop_cut(measured)
     return outlierness(stats, fit_prose(stats))
 
 
-def not_prose(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind) of the documents that are, by the greater part of their characters, list, table or junk.
-
-    Candidates are the outliers among prose; of those, the kind that holds the most characters decides, and a text that
-    is broken, repeats itself, or strings words together without order is junk as a whole. NULL and empty text is junk.
-    Rows with NULL doc_id give nothing.
-    """
-    s = fitted_statistics(documents)
-    neighbour = F.col("stats")[STATISTICS.index("neighbour_fit")]
-    shuffled = (F.col("n_words") >= SHUFFLED_WORDS) & (neighbour < F.col("fit_floor") - SHUFFLED_SLACK / F.col("n_words"))
+def told_kind() -> Column:
+    """The kind of an outlier; NULL if it is prose after all: a heading, an odd sentence, prose with a short list."""
     most = F.greatest("list_chars", "table_chars", "junk_chars")
-    prose_wins = (F.col("prose_chars") >= F.col("list_chars") + F.col("table_chars") + F.col("junk_chars")) & (F.col("prose_chars") > 0)
-    kind = (
-        F.when(F.col("broken") | (F.col("n_words") + most == 0), "junk")
-        .when(prose_wins & shuffled, "junk")
+    prose_wins = F.col("prose_chars") > F.col("list_chars") + F.col("table_chars") + F.col("junk_chars")
+    return (
+        F.when(F.col("broken") | (F.col("prose_chars") + most == 0), "junk")
+        .when(prose_wins & (F.col("senseless") > SENSELESS), "junk")
         .when(prose_wins, None)
         .when(F.col("list_chars") == most, "list")
         .when(F.col("table_chars") == most, "table")
         .otherwise("junk")
     )
-    return s.where(F.col("distance2") > OUTLYING).select("doc_id", kind.alias("kind")).where("kind is not null").distinct()
+
+
+def not_prose(documents: DataFrame, outlying: float = OUTLYING) -> DataFrame:
+    """(doc_id, kind) of the documents that are, by the greater part of their characters, list, table or junk.
+
+    A document within ``outlying`` of its language's prose is prose. Of the outliers, the kind of line that holds the most
+    characters decides; where that is prose, the distance decides again: sentences are prose, but a text whose
+    words have no order, that repeats itself or is broken is junk. NULL and empty text is junk. Rows with NULL doc_id
+    give nothing; repeated rows count once.
+    """
+    s = fitted_statistics(documents)
+    return s.where(F.col("distance2") > outlying).select("doc_id", told_kind().alias("kind")).where("kind is not null").distinct()
 
 
 def statistics_report(documents: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-from weftgraph.llm.mixing import copies_by_class, draw, report, with_tokens
+from weftgraph.llm import mixing
+from weftgraph.llm.mixing import allocation, copies_a_size, draw, report, with_tokens
 
 TARGETS = "mix_id string, source string, weight double, max_repeats int, size_ratio double, class string"
 
@@ -9,10 +10,15 @@ def test_tokens_and_sources(spark):
 
 
 def test_copies_meet_the_target_under_the_cap():
-    classes = {8: (10, 50), 16: (5, 90), 24: (2, 130)}
-    for target in (10, 150, 500, 800):
-        c = copies_by_class(target, 3, classes)
-        assert abs(sum(c[k] * classes[k][1] for k in c) - min(target, 3 * 270)) < 1e-6 and max(c.values()) <= 3
+    sizes = {8: [4, 5, 6, 5], 16: [17, 18, 19], 24: [65, 66]}
+    classes = {k: (sum(v), sum(x**1.5 for x in v), max(v)) for k, v in sizes.items()}
+    whole = sum(sum(v) for v in sizes.values())
+    for target in (10, 150, 400, 500, 800):
+        c = copies_a_size(target, 3, classes)
+        copies = {x: min(3, c * x**0.5) for v in sizes.values() for x in v}
+        reached = sum(copies[x] * x for v in sizes.values() for x in v)
+        assert reached <= min(target, 3 * whole) + 1e-6 and reached >= 0.98 * min(target, 3 * whole)
+    assert copies_a_size(5, 2, {}) == float("inf")
 
 
 def test_shares_and_caps(spark):
@@ -33,3 +39,29 @@ def test_inclusion_follows_the_odds(spark):
     targets = spark.createDataFrame([("m", "a", 1.0, 2, 0.3, "x")], TARGETS)
     sizes = [draw(tokens, targets, seed=s).count() for s in range(4)]
     assert sizes == [120] * 4
+
+
+def test_the_sample_is_the_same_however_its_end_is_found(spark, monkeypatch):
+    rows = [(i, "a" if i % 3 else "b", 1 + (i * 53) % 400) for i in range(3000)]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 3.0, 2, 0.4, "x"), ("m", "b", 1.0, 2, 0.4, "x"), ("k", "b", 1.0, 5, 0.9, "x")], TARGETS)
+    out = []
+    for ranges in (1, 3, 4096):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        out.append({tuple(r) for r in draw(tokens, targets).collect()})
+    assert out[0] == out[1] == out[2]
+    due = {(r.mix_id, r.source): r.due for r in allocation(tokens, targets).collect()}
+    for key, want in due.items():
+        got = sum(r[3] * r[4] for r in out[0] if r[:2] == key)
+        assert abs(got - want) <= 200  # half of the longest document
+
+
+def test_each_document_has_its_own_chance(spark):
+    rows = [(i, "a", 16 if i % 2 else 19) for i in range(2000)]  # one class of length
+    tokens = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 1.0, 1, 0.3, "x")], TARGETS)
+    n = {16: 0, 19: 0}
+    for seed in range(8):
+        for r in draw(tokens, targets, seed=seed, power=2.0).collect():
+            n[r.tokens] += 1
+    assert abs(n[19] / n[16] - (19 / 16) ** 2) < 0.15

@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftgraph.llm.packing import pack, packed_containers, packing_report
+from weftgraph.llm.packing import coverage_report, mixture_report, pack, packed_containers, packing_report
 
 SIZES = st.lists(st.tuples(st.sampled_from("abc"), st.integers(1, 300)), max_size=60)
 
@@ -11,9 +11,9 @@ SIZES = st.lists(st.tuples(st.sampled_from("abc"), st.integers(1, 300)), max_siz
 def test_round_trip(items, capacity):
     pieces = [(s, i, n) for i, (s, n) in enumerate(items)]
     out = pack(pieces, capacity, {"a": 0.5, "b": 0.3, "c": 0.2}, {})
-    assert all(0 < sum(p[3] for p in c) <= capacity for c in out)
+    assert all(0 < sum(p[4] for p in c) <= capacity for c in out)
     for _, doc, n in pieces:
-        own = sorted(p[1:] for c in out for p in c if p[0] == doc)
+        own = sorted(p[2:] for c in out for p in c if p[0] == doc)
         assert [p[0] for p in own] == list(range(len(own))) and sum(p[2] for p in own) == n
         assert [p[1] for p in own] == [sum(q[2] for q in own[:k]) for k in range(len(own))]
         assert n > capacity or len(own) == 1
@@ -35,3 +35,17 @@ def test_partitions_and_edge_cases(spark):
     assert {r.spec_id: r.tokens for r in packing_report(out, specs).collect()} == {"s": want, "t": want}
     assert out.groupBy("spec_id", "container_id").agg({"tokens": "sum"}).join(specs, "spec_id").where("`sum(tokens)` > capacity_tokens").count() == 0
     assert packed_containers(tokens.where("false"), specs).count() == 0 and packed_containers(tokens, specs.where("false")).count() == 0
+    kept = {r.spec_id: r for r in coverage_report(out, specs).collect()}
+    n = sum(1 for i, _, t, _ in rows if i is not None and t)
+    assert all((r.n_documents, r.tokens, r.n_overfull, r.n_loose) == (n, want, 0, 0) for r in kept.values())
+    assert kept["s"].n_split == 1 and kept["s"].n_pieces == n - 1 + -(-5000 // 256) and kept["t"].n_pieces == n - 1 + 5
+
+
+def test_every_window_holds_the_mixture(spark):
+    rows = [(i, "abc"[i % 10 // 5 + i % 10 // 8], 20 + i * 37 % 30) for i in range(3000)]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    specs = spark.createDataFrame([("s", 1024)], "spec_id string, capacity_tokens int")
+    for partition_tokens, most in ((10**6, 0.03), (40_000, 0.08)):  # small partitions hold chance mixtures of their own
+        got = mixture_report(packed_containers(tokens, specs, partition_tokens=partition_tokens)).collect()
+        assert len(got) == 3 and abs(sum(r.share for r in got) - 1) < 1e-9
+        assert all(r.window_error < most and r.without < 0.05 for r in got), got

@@ -26,7 +26,7 @@ PARTITION_TOKENS = 8_000_000
 MAX_SPECS = 1000
 #: How small against the largest piece that fits an owed source's piece may be, and any source's when none is owed.
 NEAR_LARGEST, CLOSING = 0.5, 0.9
-PACKED_SCHEMA = "spec_id string, container_id string, position int, doc_id bigint, piece int, first_token bigint, tokens bigint"
+PACKED_SCHEMA = "spec_id string, container_id string, position int, doc_id bigint, source string, piece int, first_token bigint, tokens bigint"
 
 
 class Queue:
@@ -56,19 +56,19 @@ class Queue:
         return piece
 
 
-def pack(pieces: Iterable[tuple[str, int, int]], capacity: int, weights: dict[str, float], deficits: dict[str, float]) -> list[list[tuple[int, int, int, int]]]:
-    """Containers of (doc_id, piece, first_token, tokens). pieces: (source, doc_id, tokens) of whole documents.
+def pack(pieces: Iterable[tuple[str, int, int]], capacity: int, weights: dict[str, float], deficits: dict[str, float]) -> list[list[tuple[int, str, int, int, int]]]:
+    """Containers of (doc_id, source, piece, first_token, tokens). pieces: (source, doc_id, tokens) of whole documents.
 
     A document larger than the capacity fills whole containers of its own and goes on with the rest of it.
     """
     queues: dict[str, Queue] = {}
-    containers: list[list[tuple[int, int, int, int]]] = []
+    containers: list[list[tuple[int, str, int, int, int]]] = []
     deficits = dict(deficits)
     for source, doc_id, tokens in pieces:
         queue = queues.setdefault(source, Queue())
         piece, at = 0, 0
         while tokens - at > capacity:
-            containers.append([(doc_id, piece, at, capacity)])
+            containers.append([(doc_id, source, piece, at, capacity)])
             for s, w in weights.items():
                 deficits[s] = deficits.get(s, 0.0) + w * capacity
             deficits[source] = deficits.get(source, 0.0) - capacity
@@ -83,7 +83,7 @@ def pack(pieces: Iterable[tuple[str, int, int]], capacity: int, weights: dict[st
         def place(source: str, size: int) -> None:
             nonlocal room
             doc_id, piece, at = queues[source].take(size)
-            own.append((doc_id, piece, at, size))
+            own.append((doc_id, source, piece, at, size))
             room -= size
             deficits[source] = deficits.get(source, 0.0) - size
 
@@ -103,7 +103,7 @@ def pack(pieces: Iterable[tuple[str, int, int]], capacity: int, weights: dict[st
 
 
 def packed_containers(tokens: DataFrame, specs: DataFrame, weights: DataFrame | None = None, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
-    """The pieces of each container: (spec_id, container_id, position, doc_id, piece, first_token, tokens).
+    """The pieces of each container: (spec_id, container_id, position, doc_id, source, piece, first_token, tokens).
 
     tokens: (doc_id, source, tokens), one row a document; specs: (spec_id, capacity_tokens), at most MAX_SPECS rows;
     weights: (source, weight), by default each source's share of all tokens. NULL source is a source of its own. Documents
@@ -158,3 +158,30 @@ def packing_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     own = sizes.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("tokens"), F.sum("n").alias("n_pieces"))
     room = F.col("n_containers") * F.col("capacity_tokens")
     return own.join(specs.select("spec_id", "capacity_tokens").distinct(), "spec_id").select("spec_id", "capacity_tokens", "n_containers", "n_pieces", "tokens", room.alias("room"), (1 - F.col("tokens") / room).alias("unused_share"))
+
+
+def mixture_report(packed: DataFrame) -> DataFrame:
+    """(spec_id, source, share, window_error, without): each source's share of a spec's tokens, the mean part of a container's
+    tokens by which its share in the container differs from that, and the part of the tokens in containers without it.
+
+    Sums by container and source come first: what is windowed over is one row a spec and source.
+    """
+    cells = packed.groupBy("spec_id", "container_id", "source").agg(F.sum("tokens").alias("x"))
+    rooms = cells.groupBy("spec_id", "container_id").agg(F.sum("x").alias("room"))
+    shares = cells.groupBy("spec_id", "source").agg(F.sum("x").alias("x"))
+    shares = shares.withColumn("total", F.sum("x").over(Window.partitionBy("spec_id"))).select("spec_id", "source", "total", (F.col("x") / F.col("total")).alias("share"))
+    # Sources are few: one row a spec and source.
+    met = cells.join(rooms, ["spec_id", "container_id"]).join(F.broadcast(shares), ["spec_id", "source"])
+    own = met.groupBy("spec_id", "source").agg(F.first("share").alias("share"), F.first("total").alias("total"), F.sum("room").alias("room"), F.sum(F.abs(F.col("x") - F.col("share") * F.col("room"))).alias("off"))
+    without = 1 - F.col("room") / F.col("total")
+    return own.select("spec_id", "source", "share", (F.col("off") / F.col("total") + F.col("share") * without).alias("window_error"), without.alias("without"))
+
+
+def coverage_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
+    """(spec_id, n_documents, n_pieces, tokens, n_split, n_overfull, n_loose): what a packing must keep: every document with tokens
+    once and whole, none split that fits, no container above its capacity, no piece that does not go on where the last one ended."""
+    own = packed.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.min("first_token").alias("start"))
+    documents = own.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_pieces"), F.sum("t").alias("tokens"), F.count_if(F.col("n") > 1).alias("n_split"), F.count_if((F.col("end") != F.col("t")) | (F.col("start") != 0)).alias("n_loose"))
+    rooms = packed.groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("t")).join(F.broadcast(specs.select("spec_id", "capacity_tokens").distinct()), "spec_id")
+    full = rooms.groupBy("spec_id").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_overfull"))
+    return documents.join(full, "spec_id").select("spec_id", "n_documents", "n_pieces", "tokens", "n_split", "n_overfull", "n_loose")

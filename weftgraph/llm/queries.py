@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.llm import components, linkage, matching, mixing, packing, text_quality
 from weftgraph.plans.lineage import cut
@@ -94,6 +95,23 @@ def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_containers(_tokens(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
+_TOKENS_CTE = r"""tok as (select doc_id, nullif(replace(lower(trim(source)), '-', '_'), '') as source, coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]+')), 0) as t from documents where doc_id is not null)"""
+
+
+@query(
+    "p6_coverage",
+    f"""with {_TOKENS_CTE} select spec_id, count(*) as n_documents, sum(ceil(t / capacity_tokens)::bigint) as n_pieces, sum(t) as tokens, count(*) filter (t > capacity_tokens) as n_split, 0::bigint as n_overfull, 0::bigint as n_loose
+from tok, (select distinct spec_id, capacity_tokens from pack_specs where capacity_tokens > 0) where t > 0 group by spec_id""",
+)
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.coverage_report(p6_pack(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+@query("p6_mixture")
+def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.mixture_report(p6_pack(spark, sf_dir))
+
+
 @query("p6_report")
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p6_pack(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
@@ -104,6 +122,16 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(_tokens(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+@query(
+    "p7_allocation",
+    f"""with {_TOKENS_CTE}, m as (select mix_id, nullif(replace(lower(trim(source)), '-', '_'), '') as source, greatest(coalesce(weight, 0), 0) as weight, coalesce(max_repeats, 0) as cap, size_ratio from mix_targets where mix_id is not null),
+s as (select m.*, max(coalesce(size_ratio, 0)) over (partition by mix_id) * (select sum(t) from tok) as size, sum(weight) over (partition by mix_id) as whole, cap * coalesce((select sum(t) from tok where tok.source = m.source), 0) as supply from m where source is not null)
+select mix_id, source, case when whole > 0 then weight / whole else 0 end::double as target_share, round(least(size * weight / whole, supply), 3)::double as due, supply::double as supply from s""",
+)
+def p7_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.allocation(_tokens(spark, sf_dir), table(spark, sf_dir, "mix_targets")).withColumn("due", F.round("due", 3))
+
+
 @query("p7_report")
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))

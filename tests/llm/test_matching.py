@@ -1,6 +1,6 @@
 import random
 
-from weftgraph.llm.matching import UNMATCHED, LevenshteinAutomaton, ReferenceList, Trie, canonical_values
+from weftgraph.llm.matching import UNMATCHED, LevenshteinAutomaton, ReferenceList, Trie, candidates, canonical_values, described_names
 
 ENTRIES = [("CourtCase", ["litigation"], "A dispute, also called lawsuit."), ("Vendor", ["supplier"], ""), ("Wallet", [], ""), ("Component", [], "A piece, such as a module.")]
 
@@ -58,3 +58,20 @@ def test_records(spark):
     assert sorted(tuple(r) for r in canonical_values(df, "id", "type_", ref, "entity_type").collect()) == [("1", "Wallet"), ("5", UNMATCHED)]
     assert canonical_values(df.where("false"), "id", "type_", ref, "entity_type").count() == 0
     assert {r.canonical_value for r in canonical_values(df, "id", "type_", ref.where("false"), "entity_type").collect()} == {UNMATCHED}
+
+
+def test_names_read_from_descriptions():
+    assert described_names("A body such as an association, agency or institution that is not run for profit.") == ["association", "agency", "institution"]
+    assert described_names("A registered sign for goods.") == ["registered sign"] and described_names("A scholarly publication or research article.") == ["scholarly publication", "research article"]
+    assert described_names("") == [] and described_names("A site that admits patients; includes any clinic.") == ["clinic"]
+    known = ReferenceList([("DIRECTOR_OF", [], "Person sits on the board."), ("OWNS", [], "")], verbs=True)
+    assert known.lookup("Directs") == "DIRECTOR_OF" and known.lookup("sits on the board") == UNMATCHED
+
+
+def test_all_entries_within_the_distance(spark):
+    known = ReferenceList([("Grant", [], ""), ("Giant", [], ""), ("Wallet", [], "")], verbs=False)
+    assert known.within("graint") == {"Grant": 1, "Giant": 2} and known.within("...") == {}
+    ref = spark.createDataFrame([("Grant", ["Stipend"], ""), ("Giant", None, None), ("Wallet", [], "")], "e string, aliases array<string>, description string")
+    df = spark.createDataFrame([("GRAINT",), ("gra-int",), ("stipend",), ("?",), (None,), ("fog",)], "v string")
+    assert {tuple(r) for r in candidates(df, "v", ref, "e", "node").collect()} == {("node", "graint", "Grant", 1), ("node", "graint", "Giant", 2), ("node", "stipend", "Grant", 0)}
+    assert candidates(df, "v", ref.where("false"), "e", "node").count() == 0

@@ -29,10 +29,11 @@ DIGIT_LETTERS = {"0": "o", "1": "i", "3": "e", "5": "s"}
 LEADING = re.compile(r"^(?:[\s\"'`#:\->\[\]()*.]+|(?:a|an|the)\s+|\w{1,4}:|(?:type|kind|class|label|relation|edge|node)\s*[:=]|(?:edge|node|rel)_)", re.I)
 TRAILING = re.compile(r"(?:[\s\"'`#:\->*,;!?]+|\[\?*\]|\(\)|\((?:entity|node|type|edge)\)|\s+(?:entity|node|type|edge))$", re.I)
 SEPARATOR = re.compile(r"\s*[/|,;&+]\s*|\s+(?:and|or)\s+", re.I)
-# Phrases of a description that introduce another name of the entry.
-ALSO_CALLED = re.compile(r"\b(?:also called|sometimes called|such as|includes any|any|; a|; an|named|; any)\s+(?:a |an |the )?([a-z]+(?: or [a-z]+)*)", re.I)
-# Other names in common use that the reference lists leave out.
-COMMON_NAMES = {"enterprise": "Company", "association": "Organization", "agency": "Organization", "named individual": "Person", "registered sign": "Trademark", "research article": "Paper", "software library": "Package", "author of record": "AUTHORED_BY", "directs": "DIRECTOR_OF"}
+# Phrases of a description that introduce other names of the entry.
+ALSO_CALLED = re.compile(r"\b(?:also called|sometimes called|such as|includes any|any|named)\s+((?:an? |the )?[a-z]+(?:(?:, or |, | or )(?:an? |the )?[a-z]+)*)|; an? ([a-z]+)", re.I)
+ITEM = re.compile(r"\s*(?:,|\bor\b)\s*(?:an? |the )?", re.I)
+# Words that end the phrase with which a description begins.
+PHRASE_ENDS = frozenset("a an the of or and in on at to for from by with that which who whose is are was were has have had not such any into over under inside between before".split())
 # Irregular verbs of relationship names, with their base forms.
 BASE_FORMS = {"taught": "teach", "bought": "buy", "took": "take", "run": "run", "running": "run", "held": "hold", "written": "write", "upkept": "upkeep"}
 VOWELS = frozenset("aeiou")
@@ -44,14 +45,14 @@ def distance_limit(length: int) -> int:
 
 
 class LevenshteinAutomaton:
-    """Accepts the words within ``limit`` edits (insert, delete, replace, swap of neighbours) of ``word``.
+    """Accepts the words within ``limit`` edits (insert, delete, replace, and with ``swaps`` swap of neighbours) of ``word``.
 
     A state is the sparse row of the edit matrix: the positions of the word that can still be reached within the
     limit, with their distances, and the row before for swaps. An empty row is the dead state.
     """
 
-    def __init__(self, word: str, limit: int) -> None:
-        self.word, self.limit = word, limit
+    def __init__(self, word: str, limit: int, swaps: bool = True) -> None:
+        self.word, self.limit, self.swaps = word, limit, swaps
 
     def start(self) -> tuple[dict[int, int], dict[int, int], str]:
         return {i: i for i in range(min(self.limit, len(self.word)) + 1)}, {}, ""
@@ -67,7 +68,7 @@ class LevenshteinAutomaton:
                 cost = d + (word[i] != char)
                 if cost <= limit and cost < out.get(i + 1, 99):
                     out[i + 1] = cost
-        if last:
+        if last and self.swaps:
             for i, d in older.items():
                 if i + 1 < n and word[i] == char and word[i + 1] == last and char != last and d + 1 <= limit and d + 1 < out.get(i + 2, 99):
                     out[i + 2] = d + 1
@@ -95,9 +96,9 @@ class Trie:
             node = node.setdefault(char, {})
         node.setdefault("", set()).add(entry)
 
-    def search(self, word: str, limit: int) -> dict[str, int]:
+    def search(self, word: str, limit: int, swaps: bool = True) -> dict[str, int]:
         """Every entry with a path within ``limit`` of ``word``, with the least distance."""
-        automaton, found = LevenshteinAutomaton(word, limit), {}
+        automaton, found = LevenshteinAutomaton(word, limit, swaps), {}
         stack = [(self.root, automaton.start())]
         while stack:
             node, state = stack.pop()
@@ -179,25 +180,50 @@ def inflections(first: str) -> set[str]:
     return out
 
 
+def described_names(description: str) -> list[str]:
+    """Other names that a description gives: those it introduces as such, and the phrases of two words or more that it begins
+    with ("A registered sign for goods", "A scholarly publication or research article")."""
+    out = []
+    for listed, one in ALSO_CALLED.findall(description):
+        out += [w for w in ITEM.split(re.sub(r"^(?:an?|the) ", "", listed or one, flags=re.I)) if w]
+    for clause in re.split(r"[;.]", description):
+        for part in re.split(r"\bor\b", clause):
+            head = []
+            for w in re.findall(r"[a-z]+", part.lower()):
+                if w in PHRASE_ENDS:
+                    if head:
+                        break
+                    continue
+                head.append(w)
+            if 2 <= len(head) <= 3:
+                out.append(" ".join(head))
+            if len(head) < 2 or not part.lower().strip().endswith(head[-1]):
+                break  # what follows the first phrase is about it, and names nothing
+    return out
+
+
 class ReferenceList:
     """The trie of a reference list and the way a value is looked up in it.
 
     entries: (entry, aliases, description) rows. The list must be small; its trie is built in every Python worker.
+    Names without their vowels are paths of a second trie.
     """
 
     def __init__(self, entries: Iterable[tuple[str, Sequence[str], str]], verbs: bool) -> None:
         self.entries: set[str] = set()
-        self.paths, self.skeletons = Trie(), {}
+        self.paths, self.bones = Trie(), Trie()
         self.exact: dict[str, set[str]] = {}
+        self.skeletons: dict[str, set[str]] = {}
+        self.initials: dict[str, set[str]] = {}
         rows = list(entries)
-        for entry, aliases, description in rows:
+        for entry, aliases, _ in rows:
             self.entries.add(entry)
-            names = [entry, *(aliases or ())]
-            for phrase in ALSO_CALLED.findall(description or ""):
-                names += re.split(r" or ", phrase)
-            names += [n for n, e in COMMON_NAMES.items() if e == entry]
-            for i, name in enumerate(names):
-                self._add(name, entry, verbs, own=i <= len(aliases or ()))
+            for name in (entry, *(aliases or ())):
+                self._add(name, entry, verbs, own=True)
+        # Names read from descriptions come last: they give way to names and aliases of any entry.
+        for entry, _, description in rows:
+            for name in described_names(description or "") if not verbs else ():
+                self._add(name, entry, verbs, own=False)
 
     def _add(self, name: str, entry: str, verbs: bool, own: bool) -> None:
         w = words(name)
@@ -209,15 +235,19 @@ class ReferenceList:
                 forms.add((f, *w[1:]))
                 if f.endswith("ing"):
                     forms.add(("is", f, *w[1:]))
+            if len(w) == 2 and w[1] == "of" and w[0].endswith(("or", "er")):  # whoever is the director of something directs it
+                forms |= {(w[0][:-2] + e,) for e in ("s", "ed", "ing")}
         else:
             forms |= {(*w[:-1], f) for f in (w[-1] + "s", w[-1] + "es", w[-1][:-1] + "ies" if w[-1].endswith("y") else w[-1] + "s")}
         for form in forms:
             joined = "".join(form)
-            if not own and joined in self.exact:
+            if not own and joined in self.exact and entry not in self.exact[joined]:
                 continue
             self.paths.add(joined, entry)
+            self.bones.add(skeleton(joined), entry)
             self.exact.setdefault(joined, set()).add(entry)
             self.skeletons.setdefault(skeleton(joined), set()).add(entry)
+            self.initials.setdefault(entry, set()).add(joined[0])
 
     def lookup(self, value: str | None) -> str:
         """The one entry that the value means, or UNMATCHED."""
@@ -232,6 +262,11 @@ class ReferenceList:
             return named.pop() if len(named) == 1 else UNMATCHED
         return whole.pop() if len(whole) == 1 else UNMATCHED
 
+    def within(self, value: str) -> dict[str, int]:
+        """Every entry with a name, alias, inflection or described name within the distance that the value's length allows."""
+        joined = "".join(words(bare(value)))
+        return self.paths.search(joined, distance_limit(len(joined))) if joined else {}
+
     def _one(self, value: str) -> set[str]:
         """The nearest entries: none, one, or several that are equally near."""
         core = bare(value)
@@ -239,7 +274,7 @@ class ReferenceList:
         joined = "".join(words(core))
         if not joined:
             return set()
-        if joined in self.exact:
+        if joined in self.exact:  # what the search would find at distance 0
             return set(self.exact[joined])
         found = self.paths.search(joined, distance_limit(len(joined)))
         if cut_off:
@@ -249,40 +284,29 @@ class ReferenceList:
                 least = min(begun.values())
                 near = {e for e, d in found.items() if d <= 1}
                 return near & set(begun) or {e for e, m in begun.items() if m == least}
-        if len(joined) >= 3 and not any(c in VOWELS for c in joined[1:]):
-            named = self.skeletons.get(joined, set())
-            if named:
-                return set(named)
+        without_vowels = not any(c in VOWELS for c in joined[1:])
+        if len(joined) >= 3 and without_vowels and joined in self.skeletons:
+            return set(self.skeletons[joined])
         if found:
             least = min(found.values())
             best = {e for e, d in found.items() if d == least}
-            if len(joined) > 5 or least < 2 or all(self._begins(e, joined[0]) for e in best):
+            if len(joined) > 5 or least < 2 or all(joined[0] in self.initials[e] for e in best):
                 return best
         # Vowels left out and mistyped as well.
-        if len(joined) >= 5 and not any(c in VOWELS for c in joined[1:]):
-            near = {e for s, es in self.skeletons.items() if abs(len(s) - len(joined)) <= 1 and s[0] == joined[0] and LevenshteinDistance(s, joined) <= 1 for e in es}
-            return near
+        if len(joined) >= 5 and without_vowels:
+            return {e for e in self.bones.search(joined, 1) if joined[0] in self.initials[e]}
         return set()
 
-    def _begins(self, entry: str, letter: str) -> bool:
-        return any(p[0] == letter for p, es in self.exact.items() if entry in es)
 
-
-def LevenshteinDistance(a: str, b: str, limit: int = 1) -> int:
-    automaton = LevenshteinAutomaton(a, limit)
-    state = automaton.start()
-    for char in b:
-        state = automaton.step(state, char)
-    d = automaton.distance(state)
-    return limit + 1 if d is None else d
-
-
-#: A reference list with more entries than this is refused, since each Python worker holds its trie.
-MAX_ENTRIES = 100_000
+#: A reference list with more entries or letters than this is refused, since each Python worker holds its trie.
+MAX_ENTRIES, MAX_LETTERS = 100_000, 32_000_000
 
 
 def reference_rows(reference: DataFrame, entry: str, aliases: str = "aliases", description: str = "description") -> tuple:
-    """The reference list as (entry, aliases, description) rows on the driver: at most MAX_ENTRIES, else an error."""
+    """The reference list as (entry, aliases, description) rows on the driver: at most MAX_ENTRIES rows and MAX_LETTERS, else an error."""
+    letters = reference.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in (F.col(entry), F.array_join(aliases, ""), F.col(description))), F.lit(0)))).first()[0] or 0
+    if letters > MAX_LETTERS:
+        raise ValueError(f"the reference list has more than {MAX_LETTERS} letters")
     rows = reference.where(F.col(entry).isNotNull()).select(F.col(entry).alias("e"), F.col(aliases).alias("a"), F.col(description).alias("d")).limit(MAX_ENTRIES + 1).collect()
     if len(rows) > MAX_ENTRIES:
         raise ValueError(f"the reference list has more than {MAX_ENTRIES} rows")
@@ -315,14 +339,42 @@ def canonical_values(records: DataFrame, id_column: str, value_column: str, refe
     and joined back with hot values salted.
     """
     rows = reference_rows(reference, entry)
-    exact = [r[0] for r in rows]
     value = F.col("value")
     cases = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("record_id"), F.col(value_column).alias("value"))
-    cases = cases.where(value.isNotNull() & (F.trim(value) != "") & ~value.isin(exact) if exact else value.isNotNull() & (F.trim(value) != ""))
+    cases = _inexact(cases.where(value.isNotNull() & (F.trim(value) != "")), rows)
     mapped = map_values(cases.select("value").distinct(), rows, verbs)
     return salted_join(cases, mapped, ["value"], "inner", F.col("record_id")).select("record_id", "canonical_value").distinct()
 
 
+def _inexact(values: DataFrame, rows: tuple) -> DataFrame:
+    """The rows whose value is not exactly an entry. The entries are broadcast: reference_rows has checked their number and size."""
+    exact = values.sparkSession.createDataFrame([(r[0],) for r in rows], "value string")
+    return values.join(F.broadcast(exact), "value", "left_anti")
+
+
+def candidates(records: DataFrame, value_column: str, reference: DataFrame, entry: str, kind: str) -> DataFrame:
+    """(record_kind, value, entry, distance): all entries with a name or alias within the length-dependent distance of each
+    distinct value, letters and digits alone compared, in lower case, a swap of neighbours as two edits; the distance is the least over the entry's names.
+
+    Values without letters or digits, and NULL, give nothing; an empty list gives no rows.
+    """
+    rows = reference_rows(reference, entry)
+    plain = F.lower(F.regexp_replace(value_column, "[^A-Za-z0-9]", ""))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = Trie()
+        for name, aliases, _ in rows:
+            for path in (name, *aliases):
+                if path := re.sub("[^A-Za-z0-9]", "", path).lower():
+                    trie.add(path, name)
+        for pdf in batches:
+            found = [(v, e, d) for v in pdf["value"] for e, d in trie.search(v, distance_limit(len(v)), swaps=False).items()]
+            yield pd.DataFrame(found, columns=["value", "entry", "distance"]).astype({"distance": "int64"})
+
+    values = records.select(plain.alias("value")).where("value <> ''").distinct()
+    return values.mapInPandas(search, "value string, entry string, distance long").select(F.lit(kind).alias("record_kind"), "value", "entry", "distance")
+
+
 def graph_canonical_values(nodes: DataFrame, edges: DataFrame, entity_types: DataFrame, rel_types: DataFrame) -> DataFrame:
     """(record_kind, record_id, canonical_value) of graph_nodes.type_ and graph_edges.relationship."""
     of_nodes = canonical_values(nodes, "id", "type_", entity_types, "entity_type")
@@ -335,6 +387,7 @@ def unmatched_report(records: DataFrame, value_column: str, reference: DataFrame
     """(record_kind, value, n_rows) of the values that fit no entry."""
     rows = reference_rows(reference, entry)
     value: Column = F.col("value")
-    counts = records.select(F.col(value_column).alias("value")).where(value.isNotNull() & (F.trim(value) != "") & ~value.isin([r[0] for r in rows])).groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
+    filled = records.select(F.col(value_column).alias("value")).where(value.isNotNull() & (F.trim(value) != ""))
+    counts = _inexact(filled.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows")), rows)
     mapped = map_values(counts.select("value"), rows, verbs).where(F.col("canonical_value") == UNMATCHED)
     return counts.join(mapped, "value").select(F.lit(kind).alias("record_kind"), "value", "n_rows")

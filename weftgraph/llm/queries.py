@@ -60,6 +60,19 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_nodes.unionByName(of_edges)
 
 
+def _candidates_sql(kind: str, records: str, column: str, reference: str, entry: str) -> str:
+    plain = lambda c: f"lower(regexp_replace({c}, '[^A-Za-z0-9]', '', 'g'))"
+    return f"""select '{kind}' as record_kind, v.value, p.entry, min(levenshtein(v.value, p.path)) as distance from (select distinct {plain(column)} as value from {records} where {plain(column)} <> '') v,
+(select distinct {entry} as entry, {plain("unnest(list_append(coalesce(aliases, []), " + entry + "))")} as path from {reference}) p
+where abs(length(v.value) - length(p.path)) <= 3 and levenshtein(v.value, p.path) <= case when length(v.value) <= 3 then 0 when length(v.value) <= 10 then 2 else 3 end group by all"""
+
+
+@query("p2_candidates", f"{_candidates_sql('node', 'graph_nodes', 'type_', 'entity_types', 'entity_type')} union all {_candidates_sql('edge', 'graph_edges', 'relationship', 'rel_types', 'rel_type')}")
+def p2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of_nodes = matching.candidates(table(spark, sf_dir, "graph_nodes"), "type_", table(spark, sf_dir, "entity_types"), "entity_type", "node")
+    return of_nodes.unionByName(matching.candidates(table(spark, sf_dir, "graph_edges"), "relationship", table(spark, sf_dir, "rel_types"), "rel_type", "edge"))
+
+
 @query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality.not_prose(table(spark, sf_dir, "documents"))

@@ -51,6 +51,17 @@ def canonical_value(
     return F.trim(drop_endings(v, endings)) if endings else v
 
 
+def title_case(c: Column) -> Column:
+    """Each run of letters with its first letter in upper case and the others in lower case, whatever stands between runs."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+
+
+def case_format(c: Column, style: str) -> Column:
+    """lowercase, uppercase or titlecase; any other style leaves the value as it is."""
+    return {"lowercase": F.lower, "uppercase": F.upper, "titlecase": title_case}.get(style.lower(), lambda x: x)(c)
+
+
 def words(c: Column) -> Column:
     """Words as Python's split() gives them: no empty ones."""
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")

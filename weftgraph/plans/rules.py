@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import strip
+from weftgraph.functions.text import strip, title_case
 
 VIOLATION = ("rule_id", "rule_type", "severity", "entity_type", "entity_id", "property_name", "message", "expected", "actual")
 
@@ -26,9 +26,39 @@ class Rule:
     options: dict[str, Any] = field(default_factory=dict)
 
 
-def _pattern(v: Column, present: Column, pattern: str) -> list[tuple[Column, str, str]]:
+def _pattern(v: Column, present: Column, pattern: str, flags: int = 0) -> list[tuple[Column, str, str]]:
+    """flags: 2 ignores case, 8 lets ^ and $ match at lines, 16 lets the dot match line ends."""
     t = strip(v)
-    return [((t != "") & ~t.rlike(f"^(?:{pattern})"), "does not match the pattern", pattern)]
+    inline = "".join(c for bit, c in ((2, "i"), (8, "m"), (16, "s")) if flags & bit)
+    return [((t != "") & ~t.rlike(f"^(?{inline}:{pattern})" if inline else f"^(?:{pattern})"), "does not match the pattern", pattern)]
+
+
+def _words(v: Column, present: Column, words: Sequence[str]) -> list[tuple[Column, str, str]]:
+    """One of the words, as patterns and whatever their case, on the value's first line."""
+    t = strip(v)
+    return [((t != "") & ~t.rlike(r"(?i)\A[^\n]*(" + "|".join(words) + ")"), "has none of the words", ", ".join(words))]
+
+
+def _forbidden_pattern(v: Column, present: Column, pattern: str) -> list[tuple[Column, str, str]]:
+    """A value of several lines counts as matching, as a pattern that must not occur cannot be ruled out beyond the first."""
+    t = strip(v)
+    return [((t != "") & (t.rlike(pattern) | t.contains("\n")), "matches a forbidden pattern", pattern)]
+
+
+def _iso_window(v: Column, present: Column, earliest: str | None = None, latest: str | None = None, allow_future: bool = True, now: str | None = None) -> list[tuple[Column, str, str]]:
+    """An ISO date within bounds; missing and unreadable values count where the key is there. now: what the future begins after."""
+    from weftgraph.plans.ontology_rules import iso_time
+
+    at = iso_time(v)
+    bound = lambda x: F.lit(x).cast("timestamp_ntz")
+    out = [(present & at.isNull(), "is no date", "an ISO date")]
+    if earliest:
+        out.append((at < bound(earliest), "is too early", f">= {earliest}"))
+    if latest:
+        out.append((at > bound(latest), "is too late", f"<= {latest}"))
+    if not allow_future:
+        out.append((at > (bound(now) if now else F.localtimestamp()), "is in the future", "a date that has passed"))
+    return out
 
 
 def _length(v: Column, present: Column, least: int | None = None, most: int | None = None) -> list[tuple[Column, str, str]]:
@@ -43,7 +73,7 @@ def _length(v: Column, present: Column, least: int | None = None, most: int | No
 
 def _case(v: Column, present: Column, style: str) -> list[tuple[Column, str, str]]:
     t = strip(v)
-    form = {"upper": F.upper(t), "lower": F.lower(t), "titleCase": F.initcap(t)}[style]
+    form = {"upper": F.upper(t), "lower": F.lower(t), "titleCase": title_case(t)}[style]
     return [((t != "") & (t != form), "has the wrong case", style)]
 
 
@@ -82,6 +112,7 @@ def _year_window(v: Column, present: Column, earliest: int | None = None, latest
 
 CHECKS: dict[str, Callable[..., list[tuple[Column, str, str]]]] = {
     "pattern": _pattern, "length": _length, "case_format": _case, "allowed_values": _allowed, "forbidden_values": _forbidden, "range": _range, "required": _required, "date_window": _year_window,
+    "words": _words, "forbidden_pattern": _forbidden_pattern, "iso_window": _iso_window,
 }
 
 

@@ -110,3 +110,20 @@ def safe_identifier(name: str) -> str:
     if not IDENTIFIER.fullmatch(name):
         raise ValueError(f"not an identifier: {name!r}")
     return name
+
+
+def evidence_text(text: Column, most: int) -> Column:
+    """The text as evidence, or NULL where it is longer than allowed: never a part of it."""
+    return F.when(F.length(text) <= most, text)
+
+
+# What each kind of store can do, and which of it is only known once it runs.
+CAPABILITIES = (
+    ("memory", False, False, True, False, False, ""),
+    ("neo4j", True, True, True, False, True, ""),
+    ("postgres_age", True, False, True, False, False, "full_text_indexes"),
+)
+
+
+def backend_capabilities(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CAPABILITIES), "backend string, persistent boolean, full_text_indexes boolean, similarity_search boolean, embedding_similarity boolean, per_user_routing boolean, told_at_run_time string")

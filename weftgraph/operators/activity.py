@@ -32,13 +32,44 @@ def top_by(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFra
 
 
 def rolling_mean(events: DataFrame, by: str, at: str, value: str, seconds: int) -> DataFrame:
-    """Adds the mean of the group's values over the last ``seconds`` up to each event."""
-    order = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp")))
-    # Two growing frames and a difference: each row is added once, whatever the length of the window.
-    upto, before = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -seconds * 1_000_000 - 1)
-    n = F.count(value).over(upto) - F.count(value).over(before)
-    total = F.sum(value).over(upto) - F.coalesce(F.sum(value).over(before), F.lit(0.0))
-    return events.withColumn("n_rolling", n).withColumn("rolling", F.when(F.col("n_rolling") > 0, total / F.col("n_rolling")))
+    """Adds the mean of the group's values over the last ``seconds`` up to each event, and how many there are.
+
+    A window reaches over two buckets of its own length: the event's and the one before. Each bucket is a task of its
+    own, sees the rows of the bucket before it once more, and sums values exactly as decimals, so that neither a large
+    group nor a long history makes a task grow or a sum lose digits. NULL times belong to no window.
+    """
+    length = seconds * 1_000_000
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = events.withColumn("_us", us).withColumn("_own", F.floor(F.col("_us") / length))
+    # Each row is there for its own bucket and, as history, for the next one.
+    seen = rows.withColumn("_b", F.explode(F.array("_own", F.col("_own") + 1)))
+    order = Window.partitionBy(by, "_b").orderBy("_us").rangeBetween(-length, 0)
+    x = F.col(value).cast("decimal(38,12)")
+    n, total = F.count(value).over(order), F.sum(x).over(order)
+    held = seen.withColumn("n_rolling", n).withColumn("rolling", F.when(F.col("n_rolling") > 0, total.cast("double") / F.col("n_rolling")))
+    return held.where(F.col("_b") == F.col("_own")).drop("_us", "_own", "_b")
+
+
+def smoothed_by(scores: DataFrame, by: str, order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
+    """(by, ema, n): the exponential moving average of each group's values in order; the first value begins it.
+
+    One step is x -> a x + b with a = 1 - alpha and b = alpha * value, and steps combine into such a step. Groups are cut into
+    stretches of time; each is folded into its (a, b) and only those are folded again. Values so far back that their part
+    is below 1e-18 change nothing.
+    """
+    keep = Window.partitionBy(by, "_day").orderBy(*order)
+    day = F.to_date(order[0])
+    own = scores.withColumn("_day", day)
+    steps = own.withColumn("_i", F.row_number().over(keep)).withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy(by, "_day")))
+    # Within a stretch: b = sum of alpha (1 - alpha)^(later ones) value, a = (1 - alpha)^n; its first value by itself as well.
+    decay = F.pow(F.lit(1.0 - alpha), (F.col("_of") - F.col("_i")).cast("double"))
+    folded = steps.groupBy(by, "_day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(alpha) * decay * F.col(value)).alias("b"), F.min_by(value, "_i").alias("first"))
+    late = Window.partitionBy(by).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.sum("n").over(late), F.lit(0))
+    total = folded.withColumn("_after", after).withColumn("_rest", F.pow(F.lit(1.0 - alpha), F.col("_after").cast("double")))
+    whole = total.groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.col("b") * F.col("_rest")).alias("b"), F.min_by("first", "_day").alias("first"))
+    # The first value begins the average, as if it had stood there before: its step had weight alpha, now it has 1.
+    return whole.select(by, (F.col("b") + F.pow(F.lit(1.0 - alpha), F.col("n").cast("double")) * F.col("first")).alias("ema"), "n")
 
 
 def smoothed(scores: Column, alpha: float = 0.3) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import filled, ngrams, strip
-from weftgraph.plans.lineage import cut
+from weftgraph.plans.lineage import cut, drop_cut
+from weftgraph.plans.skew import hot_keys, salted_join
 from weftgraph.plans.workers import by_value
 
 by_value(__name__)
@@ -134,37 +135,61 @@ def hyperplane_key(vector: Column, planes: Sequence[Sequence[float]]) -> Column:
     return F.concat(*(F.when(dot(vector, F.array(*(F.lit(float(x)) for x in p))) >= 0, "1").otherwise("0") for p in planes))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, dims: int, blocks_of: int = 4096) -> DataFrame:
-    """(query_id, vec_id, score, place): the k most similar base vectors of each query.
+#: Queries that travel to every task at a time, and the bytes that a block of them may have.
+QUERY_BLOCK, BLOCK_BYTES = 4096, 64 << 20
 
-    A stated query set against all rows: queries go around in blocks of fixed size, each base partition scores a block at
-    once and keeps its own k best, and only those are ranked. queries: (query_id, embedding); base: (vec_id, embedding).
+
+def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, place): the k most similar base vectors of each query, by cosine between 0 and 1.
+
+    A stated query set against all rows: the queries are sent out in blocks of at most QUERY_BLOCK rows and BLOCK_BYTES, each base
+    partition keeps the k best of its own for each query, and only those are ranked. Base rows never move. queries: (query_id,
+    embedding); base: (vec_id, embedding). NULL vectors are left out; ties go to the smaller vec_id.
     """
     import numpy as np
 
-    numbered = queries.select("query_id", "embedding")
-    n_blocks = max(1, math.ceil(numbered.count() / blocks_of))
-    boxed = numbered.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
-    spread = base.select("vec_id", "embedding").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-
-    def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(left) or not len(right):
-            return empty
-        q = list(right["q"].iloc[0])
-        x = np.array([np.asarray(r["embedding"], float) for r in q])
-        y = np.stack([np.asarray(e, float) for e in left["embedding"]])
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-10)
-        s = np.clip(x @ y.T, 0, 1)
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        ids = left["vec_id"].to_numpy()
-        return pd.DataFrame({"query_id": np.repeat([r["query_id"] for r in q], top.shape[1]), "vec_id": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
-
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    left = spread.withColumn("part", part).groupBy("block", "part")
-    right = boxed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>"))).groupBy("block", "part")
-    few = left.cogroup(right).applyInPandas(score, "query_id long, vec_id long, score double")
+    rows = queries.where("embedding is not null").select("query_id", "embedding").orderBy("query_id").toLocalIterator()
+    blocks: list[tuple[list, np.ndarray]] = []
+    ids: list = []
+    vectors: list[np.ndarray] = []
+
+    def close() -> None:
+        if ids:
+            x = np.stack(vectors)
+            blocks.append((list(ids), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)))
+            ids.clear()
+            vectors.clear()
+
+    for r in rows:
+        ids.append(r.query_id)
+        vectors.append(np.asarray(r.embedding, np.float64))
+        if len(ids) == QUERY_BLOCK or len(ids) * vectors[0].nbytes >= BLOCK_BYTES:
+            close()
+    close()
+
+    def search(block: tuple) -> DataFrame:
+        sent = base.sparkSession.sparkContext.broadcast(block)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, x = sent.value
+            best = np.zeros((len(own), 0))
+            held = np.zeros((len(own), 0), np.int64)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                y = np.stack([np.asarray(e, np.float64) for e in pdf["embedding"]])
+                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-10)
+                s = np.concatenate([best, np.clip(x @ y.T, 0, 1)], axis=1)
+                at = np.concatenate([held, np.broadcast_to(pdf["vec_id"].to_numpy(np.int64), (len(own), len(pdf)))], axis=1)
+                top = np.lexsort((at, -np.round(s, 9)), axis=1)[:, :k]
+                best, held = np.take_along_axis(s, top, 1), np.take_along_axis(at, top, 1)
+            yield pd.DataFrame({"query_id": np.repeat(np.array(own, np.int64), best.shape[1]), "vec_id": held.ravel(), "score": best.ravel()})
+
+        return base.where("embedding is not null").select("vec_id", "embedding").mapInPandas(score, "query_id long, vec_id long, score double")
+
+    few = base.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for block in blocks:
+        few = few.unionByName(search(block))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
     return few.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -245,18 +270,26 @@ def estimate_m(gammas: DataFrame, columns: Sequence[str], levels: int, u: Mappin
 
 
 def closure(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(id, representative): the smallest id reachable, by handing minima on and jumping over them until nothing changes."""
+    """(id, representative): the smallest id reachable, by handing minima on and jumping over them until nothing changes.
+
+    Pairs of a hub are spread over tasks. Each round's table replaces the one before it.
+    """
     both = pairs.where(F.col(a) != F.col(b)).select(F.explode(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))).alias("e")).select("e.*").distinct()
     edges = cut(both)
+    hubs = bool(hot_keys(edges, ["y"]).take(1))
     label = cut(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("id"), F.least("x", "y").alias("rep")))
     for _ in range(max_rounds):
-        near = edges.join(label.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("rep").alias("near"))
+        named = label.withColumnRenamed("id", "y")
+        met = salted_join(edges, named, ["y"], "inner", F.col("x")) if hubs else edges.join(named, "y")
+        near = met.groupBy(F.col("x").alias("id")).agg(F.min("rep").alias("near"))
         lower = label.join(near, "id").select("id", F.least("rep", "near").alias("rep"))
         jumped = lower.join(lower.select(F.col("id").alias("rep"), F.col("rep").alias("far")), "rep", "left").select("id", F.least("rep", F.coalesce("far", "rep")).alias("rep"))
         new = cut(jumped)
         moved = new.join(label.withColumnRenamed("rep", "old"), "id").where("rep <> old").take(1)
+        drop_cut(label)
         label = new
         if not moved:
+            drop_cut(edges)
             return label.select("id", F.col("rep").alias("representative"))
     raise RuntimeError("the closure did not settle")
 
@@ -276,13 +309,23 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 def property_overlap(queries: DataFrame, store: DataFrame, least: float) -> DataFrame:
     """(query_id, id, m, n, score): store rows that share at least this part of a query's properties, compared trimmed and lower-case.
 
-    queries and store: (id, type_, properties). Values meet by equi-join on type, key and value.
+    queries and store: (id, type_, properties). A row that shares m of n properties, m >= least * n, shares one of any
+    n - m + 1 of them: candidates meet on a query's rarest ones only, so that a value which many rows have, such as a
+    status, makes no pairs; then all properties of the candidates are compared.
     """
-    flat = lambda df, name: df.select(F.col("id").alias(name), "type_", F.explode(F.map_entries("properties")).alias("e")).select(name, "type_", F.col("e.key").alias("key"), F.lower(F.trim("e.value")).alias("value")).where("value <> ''").distinct()
-    q = flat(queries, "query_id")
-    sizes = q.groupBy("query_id", "type_").agg(F.count(F.lit(1)).alias("n"))
-    hits = q.join(flat(store, "id"), ["type_", "key", "value"]).groupBy("query_id", "type_", "id").agg(F.count(F.lit(1)).alias("m"))
-    return hits.join(sizes, ["query_id", "type_"]).select("query_id", "id", "m", "n", (F.col("m") / F.col("n")).alias("score")).where(F.col("score") >= least)
+    entry = lambda e: F.struct(e["key"].alias("key"), F.lower(F.trim(e["value"])).alias("value"))
+    entries = F.filter(F.transform(F.coalesce(F.map_entries("properties"), F.array().cast("array<struct<key:string,value:string>>")), entry), lambda e: e["value"] != "")
+    # Rows of one id and type are one set of entries; versions of a node are few.
+    sets = lambda df, name: df.select(F.col("id").alias(name), "type_", F.explode(entries).alias("e")).where("type_ is not null").groupBy(name, "type_").agg(F.collect_set("e").alias(f"e_{name}"))
+    q, s = cut(sets(queries, "query_id")), cut(sets(store, "id"))
+    often = s.select("type_", F.explode("e_id").alias("e")).groupBy("type_", "e").agg(F.count(F.lit(1)).alias("often"))
+    asked = salted_join(q.select("query_id", "type_", F.size("e_query_id").alias("n"), F.explode("e_query_id").alias("e")), often, ["type_", "e"], "left", F.col("query_id"))
+    place = F.row_number().over(Window.partitionBy("query_id", "type_").orderBy(F.coalesce("often", F.lit(0)), "e"))
+    rare = asked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & F.col("often").isNotNull())
+    met = salted_join(s.select("id", "type_", F.explode("e_id").alias("e")), rare.select("query_id", "type_", "e"), ["type_", "e"], "inner", F.col("id")).select("query_id", "id", "type_").distinct()
+    both = met.join(q, ["query_id", "type_"]).join(s, ["id", "type_"])
+    m = F.size(F.array_intersect("e_query_id", "e_id")).cast("bigint")
+    return both.select("query_id", "id", m.alias("m"), F.size("e_query_id").cast("bigint").alias("n")).withColumn("score", F.col("m") / F.col("n")).where(F.col("score") >= least)
 
 
 def map_in_batches(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -65,7 +65,7 @@ def jn_ledger_tiers(spark: SparkSession, d: str) -> DataFrame:
     from weftgraph.operators.resolution import nearest
 
     base = table(spark, d, "embeddings").select("vec_id", "embedding")
-    near = nearest(base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), base, 2, 0).where("query_id <> vec_id")
+    near = nearest(base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), base, 2).where("query_id <> vec_id")
     return cascade.similarity_tiers(near.select(F.col("query_id").alias("id"), F.col("vec_id").alias("target"), F.round("score", 6).alias("score")), 0.4, 0.2).select("id", "score", "tier")
 
 

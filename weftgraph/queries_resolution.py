@@ -81,7 +81,7 @@ def sim_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     base = table(spark, d, "embeddings").select("vec_id", "embedding")
     queries = base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     # One more than shown, since a query's nearest is itself.
-    near = resolution.nearest(queries, base, 6, 0).where("query_id <> vec_id")
+    near = resolution.nearest(queries, base, 6).where("query_id <> vec_id")
     w = "row_number() over (partition by query_id order by place)"
     return near.withColumn("p", F.expr(w)).where("p <= 5").select("query_id", "vec_id", F.round("score", 6).alias("score"), resolution.similarity_level(F.col("score")).alias("level"))
 

@@ -32,12 +32,42 @@ def txt_fixed_slices(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "txt_chunk_quality",
-    r"""select doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) as n_words, len(list_filter(string_split(text, '.'), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')) as n_sentences,
-least(1.0, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) / 100)::double as score from documents where text is not null""",
+    rf"""with {_COUNTS} select doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) as n_words, len(list_filter(string_split(text, '.'), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')) as n_sentences,
+round(least(1.0, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) / 100)::double + case when (h > 3 or i > 3) and regexp_matches(text, '(?m)^(\d+\.\s+|#+\s+|[-*+]\s+)') then 0.2 else 0.0 end, 6)::double as score from c""",
 )
 def txt_chunk_quality(spark: SparkSession, d: str) -> DataFrame:
+    m = chunking.chunk_measures(F.col("text"), chunking.document_class(F.col("text")))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", m["n_words"].cast("bigint").alias("n_words"), m["n_sentences"].cast("bigint").alias("n_sentences"), F.round(m["score"], 6).alias("score"))
+
+
+@query(
+    "txt_chunk_gate",
+    r"""select doc_id, least(1.0, length(text) / 1000) >= 0.6 and coalesce(n_tokens, 0) > 0 and least(1.0, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) / 100) >= 0.5 as passes from documents where text is not null""",
+)
+def txt_chunk_gate(spark: SparkSession, d: str) -> DataFrame:
     m = chunking.chunk_measures(F.col("text"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", m["n_words"].cast("bigint").alias("n_words"), m["n_sentences"].cast("bigint").alias("n_sentences"), m["score"].alias("score"))
+    scored = table(spark, d, "documents").where("text is not null").select("doc_id", F.least(F.lit(1.0), F.length("text") / 1000).alias("coherence"), F.when(F.coalesce("n_tokens", F.lit(0)) > 0, 1.0).otherwise(0.0).alias("relevance"), m["score"].alias("size_score"))
+    return chunking.chunk_gate(scored)
+
+
+@query(
+    "txt_structure",
+    rf"""with l as (select doc_id, unnest({_LINES}) as t from documents where text is not null)
+select doc_id, count(*) filter (regexp_matches(t, '^#+\s+') or (regexp_matches(t, '^[A-Z][^.!?]*$') and length(t) < 100)) as n_headings, count(*) filter (regexp_matches(t, '^(\d+\.\s+|[-*+]\s+)')) as n_items,
+count(*) filter (starts_with(t, '>') or starts_with(t, '"') or starts_with(t, '***')) as n_quotes from l group by doc_id""",
+)
+def txt_structure(spark: SparkSession, d: str) -> DataFrame:
+    flags = chunking.structural_flags(F.col("line"))
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(*(F.count_if(flags[k]).alias(n) for k, n in (("heading", "n_headings"), ("item", "n_items"), ("quote", "n_quotes"))))
+
+
+@query(
+    "txt_chunk_summary",
+    rf"""with {_COUNTS} select doc_id, case when h > 3 or i > 3 then 'structural' when length(text) > 5000 and p > 10 then 'semantic' else 'recursive' end as method from c where regexp_replace(text, '\s+', '', 'g') <> ''""",
+)
+def txt_chunk_summary(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunks(table(spark, d, "documents")).select("doc_id", "method").distinct()
 
 
 @query(
@@ -61,10 +91,10 @@ def txt_truncated(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", chunking.truncated(F.col("text"), 600).alias("text"))
 
 
-@query("txt_positions", "select doc_id, (strpos(text, substr(substr(text, 101), 1, 50)) - 1)::bigint as at from documents where length(text) > 150")
+@query("txt_positions", "select doc_id, i - 1 as slice_index, (strpos(text, substr(text, (i - 1) * 800 + 1, 50)) - 1)::bigint as at from (select doc_id, text, unnest(range(1, (length(text) + 799) // 800 + 1)) as i from documents where length(text) > 0)")
 def txt_positions(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "documents").where(F.length("text") > 150)
-    return own.select("doc_id", chunking.positions(F.col("text"), F.substring("text", 101, 1 << 30)).cast("bigint").alias("at"))
+    own = table(spark, d, "documents").select("doc_id", "text", F.posexplode(chunking.fixed_slices(F.col("text"), 800)).alias("slice_index", "s"))
+    return own.select("doc_id", F.col("slice_index").cast("bigint").alias("slice_index"), chunking.positions(F.col("text"), F.col("s")).cast("bigint").alias("at"))
 
 
 @query("txt_excerpts", r"select doc_id, contains(lower(regexp_replace(text, '\s+', ' ', 'g')), lower(trim(regexp_replace(substr(text, 20, 60), '\s+', ' ', 'g')))) as found from documents where text is not null")
@@ -78,9 +108,9 @@ def txt_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(table(spark, d, "documents"))
 
 
-@query("txt_html", r"select doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as text from documents where contains(text, '<td>')")
+@query("txt_html", r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as text from documents where text is not null")
 def txt_html(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("text").contains("<td>")).select("doc_id", files.html_text(F.col("text")).alias("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", files.html_text(F.col("text")).alias("text"))
 
 
 @query("txt_filenames", r"select distinct document_name, regexp_replace(regexp_replace(regexp_replace(document_name, '^.*[/\\]', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', '')[1:120] as safe from documents where document_name is not null")
@@ -135,10 +165,10 @@ def win_reason_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "str_rolling",
-    "select event_id, round(avg(value) over w, 6) as rolling, count(value) over w as n_rolling from events window w as (partition by event_type order by ts range between interval 1 day preceding and current row)",
+    "select event_id, round((sum(value::decimal(38, 12)) over w)::double / nullif(count(value) over w, 0), 9) as rolling, count(value) over w as n_rolling from events window w as (partition by event_type order by ts range between interval 1 day preceding and current row)",
 )
 def str_rolling(spark: SparkSession, d: str) -> DataFrame:
-    return activity.rolling_mean(table(spark, d, "events"), "event_type", "ts", "value", 86_400).select("event_id", F.round("rolling", 6).alias("rolling"), "n_rolling")
+    return activity.rolling_mean(table(spark, d, "events"), "event_type", "ts", "value", 86_400).select("event_id", F.round("rolling", 9).alias("rolling"), "n_rolling")
 
 
 @query(
@@ -148,11 +178,8 @@ e as (select entity_type, len(s) as n, list_reduce(s, lambda a, x: a * 0.7 + x *
 select entity_type, n, round(ema, 6) as ema, round(case when ema >= 0.95 - 0.05 then 0.95 else least(greatest(ema - 0.05, 0.7), 0.95) end, 6) as threshold from e""",
 )
 def str_ema(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "disputed_pairs").where("similarity_score is not null and entity_type is not null").select("entity_type", "similarity_score", "created_at", "id").distinct()
-    # The fold needs a type's scores in order: entity types are few and a score is one number.
-    lists = own.groupBy("entity_type").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", F.col("similarity_score").cast("double").alias("x")))).alias("s"))
-    ema = activity.smoothed(F.transform("s", lambda e: e["x"]))
-    out = lists.select("entity_type", F.size("s").cast("bigint").alias("n"), ema.alias("ema"))
+    own = table(spark, d, "disputed_pairs").where("similarity_score is not null and entity_type is not null").select("entity_type", "created_at", "id", F.col("similarity_score").cast("double").alias("x")).distinct()
+    out = activity.smoothed_by(own, "entity_type", ["created_at", "id"], "x")
     return out.select("entity_type", "n", F.round("ema", 6).alias("ema"), F.round(activity.adaptive_threshold(F.col("ema"), 0.95), 6).alias("threshold"))
 
 

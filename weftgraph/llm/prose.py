@@ -35,7 +35,9 @@ HTML_LIST = re.compile(r"</?(?:ul|ol|li|dl|dt|dd)\b", re.I)
 TEMPLATE = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|</?[a-zA-Z][^<>]*>")
 ENDINGS = frozenset(".!?…:;,\"'”’»)]")
 #: Marks of a broken encoding: replacement signs, control characters, two-byte letters read as two, a ? within a word.
-ODD = re.compile(r"[\ufffd□\u0080-\u009f¢¤¶™©€®]|[ÃÂ](?=[^\w\s]|[\u0080-\u00ff])|(?<=\w)\?(?=\w)")
+ODD = re.compile(r"[\ufffd□\u0080-\u009f¢¤¶™©€®]")
+TWO_BYTES = re.compile(r"[ÃÂ](?=[^\w\s]|[\u0080-\u00ff])")
+WITHIN = re.compile(r"(?<=\w)\?(?=\w)")
 HEX = re.compile(r"(?:0x)?[0-9a-fA-F]{2,}:?")
 SEPARATORS = ("\t", "|", ";", " & ", "  ", "¦", ",", "~", "^")
 ROW_MARKS = ("; ", " · ", " • ", " / ", " | ", ", ", " – ", " - ", " + ", " * ")
@@ -142,18 +144,27 @@ def _row_list(line: str, shared: float) -> bool:
 
 
 def _odd_share(text: str, size: int) -> float:
-    if not size or text.isascii() and "?" not in text:  # of all odd marks only ? is ASCII
-        return 0.0
-    return len(ODD.findall(text)) / size
+    n = len(WITHIN.findall(text)) if "?" in text else 0
+    if not text.isascii():  # of all odd marks only ? is ASCII
+        n += len(ODD.findall(text))
+        if "Ã" in text or "Â" in text:
+            n += len(TWO_BYTES.findall(text))
+    return n / size if size else 0.0
+
+
+#: ASCII letters in lower case, line ends as they are, all else blank: what is left between blanks are the words.
+_LETTERS = str.maketrans({c: chr(c).lower() if chr(c).isalpha() else chr(c) if chr(c) in "\n\r\x0b\x0c\x1c\x1d\x1e" else " " for c in range(128)})
 
 
 def words_by_line(text: str) -> list[list[str]]:
     """Lower-case words of each line."""
+    if text.isascii():
+        return [line.split() for line in text.translate(_LETTERS).splitlines()]
     return [_lower_words(line) for line in text.splitlines()]
 
 
 def _lower_words(text: str) -> list[str]:
-    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower())
+    return text.translate(_LETTERS).split() if text.isascii() else WORD.findall(text.lower())
 
 
 def line_kinds(text: str, share: float, by_line: list[list[str]] | None = None) -> dict[str, int]:
@@ -173,9 +184,9 @@ def told_lines(text: str, share: float, by_line: list[list[str]] | None = None)
     size, shared, plain, whole = [], [], [], "<" not in text
     code = "{{" in text or "{%" in text
     for line, w in zip(lines, words):
-        n = sum(map(ANY_COMMON.__contains__, w))
+        n = len([x for x in w if x in ANY_COMMON])
         s = n / len(w) if w else 0.0
-        size.append(sum(map(len, line.split())))
+        size.append(len("".join(line.split())))
         shared.append(s)
         plain.append(n >= 2 and s >= 0.2 and len(w) >= 5 and not (code and ("{{" in line or "{%" in line)))
         whole = whole and (plain[-1] and len(w) >= 8 or not size[-1])
@@ -259,7 +270,7 @@ class Neighbours:
 
     def cells(self, words: list[str], lang: str) -> np.ndarray:
         get = self.place[lang].get
-        at = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+        at = np.array([get(w, 0) for w in words], np.int32)
         return at[:-1] * (len(self.place[lang]) + 1) + at[1:]
 
     def fit(self, counts: dict[str, np.ndarray], smoothing: float = 20.0) -> Neighbours:
@@ -290,33 +301,33 @@ def told_language(words: list[str]) -> tuple[str, float]:
     return lang if share >= LANGUAGE_SHARE else "und", share
 
 
-NO_CELLS = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+NO_CELLS = np.zeros(0, np.int32)
 
 
-def text_statistics(text: str | None, neighbours: Neighbours) -> tuple[str, int, list[float], dict[str, int], bool, tuple[np.ndarray, np.ndarray]]:
+def text_statistics(text: str | None, neighbours: Neighbours) -> tuple[str, int, list[float], dict[str, int], bool, np.ndarray]:
     """(language, words, statistics, characters by kind of line, whether the text is broken or repeats itself, its neighbours).
 
-    neighbour_fit is left at 0: it follows from the neighbours (cells and how often each occurs) once all texts are counted.
+    neighbour_fit is left at 0: it follows from the neighbours, a cell for each two words, once all texts are counted.
     """
     text = text or ""
     by_line = words_by_line(text)
     words = list(chain.from_iterable(by_line))
     lang, share = told_language(words)
     n = len(words)
-    size = sum(map(len, text.split()))
+    size = len("".join(text.split()))
     odd = _odd_share(text, size)
     raw = text.encode("utf-8", "replace")
     packed = min(1.0, len(zlib.compress(raw, 1)) / len(raw)) if raw else 0.0
     broken = odd > ODD_SHARE or (packed < REPEATED and n >= REPEATED_WORDS and len(raw) >= 100)
     chars, plain = told_lines(text, share, by_line) if size else (dict.fromkeys(KINDS, 0), 0)
-    letters = sum(map(len, words))
+    letters = len("".join(words))
     digits = sum(map(text.count, "0123456789"))
-    lines = [x for x in text.splitlines() if x.strip()]
-    ending = sum(x.rstrip()[-1] in ENDINGS for x in lines) / len(lines) if lines else 0.0
+    lines = [x for x in map(str.rstrip, text.splitlines()) if x]
+    ending = len([x for x in lines if x[-1] in ENDINGS]) / len(lines) if lines else 0.0
     gaps = text.count("\t") + text.count("  ")
     stats = [
         float(np.log1p(n)), letters / n if n else 0.0, max(0, size - letters - digits) / size if size else 0.0, digits / size if size else 0.0, ending, share,
         0.0, packed, min(1.0, odd), float(np.log1p(n / max(1, len(lines)))), plain / size if size else 0.0, gaps / len(text) if text else 0.0,
     ]
-    cells = np.unique(neighbours.cells(words, lang), return_counts=True) if lang != "und" and n > 1 else NO_CELLS
+    cells = neighbours.cells(words, lang) if lang != "und" and n > 1 else NO_CELLS
     return lang, n, stats, chars, broken, cells

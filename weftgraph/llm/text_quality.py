@@ -55,6 +55,15 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
+def _counted(parts: list[np.ndarray]) -> tuple[pa.ListArray, pa.ListArray]:
+    """The different cells of each part and how often each occurs, all parts counted at once."""
+    sizes = np.array([len(p) for p in parts])
+    flat = np.concatenate(parts).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
+    keyed, counts = np.unique(np.repeat(np.arange(len(parts)), sizes) * (1 << 32) + flat, return_counts=True)
+    offsets = pa.array(np.searchsorted(keyed, np.arange(len(parts) + 1) * (1 << 32)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array((keyed & 0xFFFFFFFF).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))
+
+
 def measured_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: RAW_SCHEMA and the neighbours of its common words (cells, counts). The only pass over the texts."""
 
@@ -62,6 +71,7 @@ def measured_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         known = Neighbours()
         for batch in batches:
             rows = [text_statistics(t, known) for t in batch.column("text").to_pylist()]
+            cells, counts = _counted([r[5] for r in rows])
             columns = {
                 "doc_id": batch.column("doc_id"),
                 "lang": pa.array([r[0] for r in rows], pa.string()),
@@ -69,8 +79,8 @@ def measured_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 "stats": _lists([np.array(r[2]) for r in rows], pa.float64()),
                 **{f"{k}_chars": pa.array([r[3][k] for r in rows], pa.int64()) for k in KINDS},
                 "broken": pa.array([r[4] for r in rows], pa.bool_()),
-                "cells": _lists([r[5][0] for r in rows], pa.int32()),
-                "counts": _lists([r[5][1] for r in rows], pa.int32()),
+                "cells": cells,
+                "counts": counts,
             }
             yield pa.RecordBatch.from_pydict(columns)
 

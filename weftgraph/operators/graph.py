@@ -32,10 +32,14 @@ class PropertyGraph:
 
 
 def latest_rows(df: DataFrame, key: str = "id", by: Sequence[str] = ("loaded_at",)) -> DataFrame:
-    """One row a key: the one with the greatest ``by``; among equals, the one with the greatest content hash."""
+    """One row a key: the one with the greatest ``by``; among equals, the one with the greatest content hash.
+
+    An aggregate that combines before its shuffle: a key with many rows sends few.
+    """
     plain = [c for c, t in df.dtypes if "map" not in t]
-    w = Window.partitionBy(key).orderBy(*(F.col(c).desc_nulls_last() for c in by), F.xxhash64(*plain).desc())
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    best = df.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(*by, F.xxhash64(*plain))).alias("_r"))
+    return best.select("_r.*")
 
 
 def latest_versions(nodes: DataFrame) -> DataFrame:

@@ -65,7 +65,6 @@ def keyed_edges(edges: DataFrame, node_keys: DataFrame) -> DataFrame:
 def pruned(nodes: DataFrame, edges: DataFrame, ontology_keys: Sequence[str], rel_types: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept nodes, added edges): orphans without ontology properties are dropped, unless their type has one possible
     relationship and there is exactly one partner, to which they are then linked. Without any edges nothing changes."""
-    has_edges = edges.select(F.lit(1).alias("_any")).limit(1)
     used = edges.select(F.explode(F.array("from_", "to_")).alias("id")).where("id is not null").distinct().withColumn("_used", F.lit(True))
     filled = F.lit(False)
     for k in ontology_keys:
@@ -78,13 +77,17 @@ def pruned(nodes: DataFrame, edges: DataFrame, ontology_keys: Sequence[str], rel
     links = bare.join(single, "type_").join(sizes, "other").where("id <> partner")
     added = links.select(F.when(F.col("out"), F.col("id")).otherwise(F.col("partner")).alias("from_"), F.when(F.col("out"), F.col("partner")).otherwise(F.col("id")).alias("to_"), "relationship", F.lit(0.9).alias("confidence_score"))
     linked = links.select("id").distinct().withColumn("_linked", F.lit(True))
-    kept = marked.join(linked, "id", "left").join(F.broadcast(has_edges), how="left").where(F.col("_keep") | F.col("_linked") | F.col("_any").isNull())
-    return kept.drop("_used", "_keep", "_linked", "_any"), added
+    no_edges = edges.agg(F.count(F.lit(1)) == 0).scalar()
+    kept = marked.join(linked, "id", "left").where(F.col("_keep") | F.col("_linked") | no_edges)
+    return kept.drop("_used", "_keep", "_linked"), added
 
 
-def subgraph_page(nodes: DataFrame, edges: DataFrame, size: int, number: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): a page of nodes by id, the edges at them, and the nodes at the other ends."""
-    own = nodes.select("id").distinct().orderBy("id").offset(size * number).limit(size)
+def subgraph_page(nodes: DataFrame, edges: DataFrame, size: int, after: str = "") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the next ``size`` nodes by id after the one given, the edges at them, and the nodes at the other ends.
+
+    A page goes on from the last id of the one before, so that a deep page costs no more than the first.
+    """
+    own = nodes.where(F.col("id") > after).select("id").distinct().orderBy("id").limit(size)
     out = edges.join(own.withColumnRenamed("id", "from_"), "from_", "left_semi").unionByName(edges.join(own.withColumnRenamed("id", "to_"), "to_", "left_semi").select(edges.columns)).dropDuplicates(["id"])
     ids = own.unionByName(out.select(F.explode(F.array("from_", "to_")).alias("id"))).distinct()
     return nodes.join(ids, "id", "left_semi"), out

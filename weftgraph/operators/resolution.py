@@ -60,11 +60,22 @@ def method_keys(value: Column, method: str, **options: float) -> Column:
     raise ValueError(f"no blocking method {method!r}")
 
 
-def rule_pairs(records: DataFrame, rules: Sequence[Column]) -> DataFrame:
-    """(a, b, rule): pairs that agree on a rule's value, each once at its first rule. records need id; one equi-join a rule."""
-    keyed = records.select("id", F.posexplode(F.array(*rules)).alias("rule", "value")).where("value is not null and value <> ''").distinct()
-    a, b = keyed.select("rule", "value", F.col("id").alias("a")), keyed.select("rule", "value", F.col("id").alias("b"))
-    return a.join(b, ["rule", "value"]).where("a < b").groupBy("a", "b").agg(F.min("rule").alias("rule"))
+def rule_pairs(records: DataFrame, rules: Sequence[Column], queries: Column) -> DataFrame:
+    """(a, b, rule): rows of a stated query set with all rows that agree with them on a rule's value, each at its first rule.
+
+    records need id; ``queries`` tells the query set. One equi-join for all rules; hot values are spread.
+    """
+    keyed = records.select("id", queries.alias("_q"), F.posexplode(F.array(*rules)).alias("rule", "value")).where("value is not null and value <> ''").distinct()
+    asked = keyed.where("_q").select("rule", "value", F.col("id").alias("a"))
+    met = salted_join(keyed.select("rule", "value", F.col("id").alias("b")), asked, ["rule", "value"], "inner", F.col("b"))
+    return met.where("a <> b").groupBy("a", "b").agg(F.min("rule").alias("rule"))
+
+
+def query_pairs(records: DataFrame, keys: Sequence[str], queries: Column) -> DataFrame:
+    """Rows of a stated query set, their columns ending in _a, beside all rows that agree with them on the keys, ending in _b."""
+    rest = [c for c in records.columns if c not in keys]
+    side = lambda df, end: df.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in rest))
+    return salted_join(side(records, "b"), side(records.where(queries), "a"), list(keys), "inner", F.struct(*(f"{c}_b" for c in rest)))
 
 
 MERSENNE = (1 << 31) - 1
@@ -294,6 +305,12 @@ def closure(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60)
     raise RuntimeError("the closure did not settle")
 
 
+def edit_and_sound(pairs: DataFrame, a: str, b: str, most: int = 4) -> DataFrame:
+    """Adds distance, edits up to ``most`` or NULL beyond, and sounds, whether both sound alike."""
+    d = F.levenshtein(a, b, most)
+    return pairs.withColumn("distance", F.when(d >= 0, d)).withColumn("sounds", (F.soundex(a) == F.soundex(b)) & F.col(a).rlike("^[a-z]"))
+
+
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Gestalt similarity of two lower-cased strings, in Arrow batches."""
 

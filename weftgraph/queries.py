@@ -50,7 +50,14 @@ def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_diff.diff_summary(table(spark, sf_dir, "node_snapshots"))
 
 
-@query("p1_property_changes")
+@query(
+    "p1_property_changes",
+    _SNAPSHOT_CTE
+    + """, ch as (select m.user_id, m.pair, m.nid, coalesce(c.cid, b.cid) as cid, b.props as old, c.props as new from m join b on b.user_id = m.user_id and b.pair = m.pair and b.id = m.bid join c on c.user_id = m.user_id and c.pair = m.pair and c.id = m.nid where m.differs),
+pk as (select *, unnest(list_distinct(list_concat(list_transform(old, lambda e: e.key), list_transform(new, lambda e: e.key)))) as property_key from ch),
+v as (select *, list_filter(old, lambda e: e.key = property_key)[1].value as old_value, list_filter(new, lambda e: e.key = property_key)[1].value as new_value from pk)
+select user_id, pair as transform_id, nid as node_id, cid as canonical_id, property_key, old_value, new_value from v where old_value is distinct from new_value""",
+)
 def p1_property_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_diff.property_changes(table(spark, sf_dir, "node_snapshots"))
 

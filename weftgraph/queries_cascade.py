@@ -79,19 +79,27 @@ def jn_edge_keying(spark: SparkSession, d: str) -> DataFrame:
     return cascade.keyed_edges(table(spark, d, "graph_edges"), keys).where("source_key is not null and target_key is not null")
 
 
-@query("jn_subgraph_page", "with p as (select distinct id from graph_nodes order by id limit 50 offset 100) select distinct id from graph_edges where from_ in (select id from p) or to_ in (select id from p)")
+@query(
+    "jn_subgraph_page",
+    """with p as (select distinct id from graph_nodes where id > '8' order by id limit 50), e as (select distinct id, from_, to_ from graph_edges where from_ in (select id from p) or to_ in (select id from p))
+select 'edge' as kind, id from e union select 'node', id from graph_nodes where id in (select id from p union select from_ from e union select to_ from e)""",
+)
 def jn_subgraph_page(spark: SparkSession, d: str) -> DataFrame:
-    return cascade.subgraph_page(table(spark, d, "graph_nodes"), table(spark, d, "graph_edges"), 50, 2)[1].select("id")
+    nodes, edges = cascade.subgraph_page(table(spark, d, "graph_nodes").select("id"), table(spark, d, "graph_edges").select("id", "from_", "to_"), 50, "8")
+    return edges.select(F.lit("edge").alias("kind"), "id").unionByName(nodes.select(F.lit("node").alias("kind"), "id")).distinct()
 
 
 @query(
     "clu_prune",
-    """with u as (select from_ as id from graph_edges where from_ is not null union select to_ from graph_edges where to_ is not null)
-select distinct id from graph_nodes where id in (select id from u) or properties['name'] <> ''""",
+    """with u as (select from_ as id from graph_edges where from_ is not null union select to_ from graph_edges where to_ is not null), r as (select id, type_, id in (select id from u) or coalesce(properties['industry'] <> '', false) as keep from graph_nodes),
+bare as (select distinct id, type_ from r where not keep), possible as (select distinct source_type as t, rel_type as rel, target_type as other, true as out_ from rel_types union select distinct target_type, rel_type, source_type, false from rel_types),
+single as (select t, min(rel) as rel, min(other) as other, bool_or(out_) as out_ from possible group by t having count(*) = 1), sizes as (select type_ as other, min(id) as partner from graph_nodes group by type_ having count(distinct id) = 1),
+l as (select bare.id, partner, rel, out_ from bare join single on single.t = bare.type_ join sizes on sizes.other = single.other where bare.id <> partner)
+select distinct 'kept' as kind, id from r where keep or id in (select id from l) union all select 'added', case when out_ then id || '>' || partner else partner || '>' || id end from l""",
 )
 def clu_prune(spark: SparkSession, d: str) -> DataFrame:
-    kept, _ = cascade.pruned(table(spark, d, "graph_nodes"), table(spark, d, "graph_edges"), ["name"], table(spark, d, "rel_types").where("false"))
-    return kept.select("id").distinct()
+    kept, added = cascade.pruned(table(spark, d, "graph_nodes"), table(spark, d, "graph_edges"), ["industry"], table(spark, d, "rel_types"))
+    return kept.select(F.lit("kept").alias("kind"), "id").distinct().unionByName(added.select(F.lit("added").alias("kind"), F.concat("from_", F.lit(">"), "to_").alias("id")))
 
 
 @query(

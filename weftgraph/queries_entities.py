@@ -144,21 +144,16 @@ def clu_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "clu_production_merge",
-    r"""with p as (select id, properties from production_nodes), s as (select id, properties from graph_nodes where valid_to is null qualify row_number() over (partition by id order by valid_from desc nulls last, loaded_at desc nulls last) = 1),
-st as (select p2.id as id, s.properties from (select id, row_number() over (order by id) as n from production_nodes) p2 join (select properties, row_number() over (order by id) as n from s) s on s.n = p2.n),
+    r"""with p as (select id, properties from graph_nodes qualify row_number() over (partition by id order by valid_from nulls last, loaded_at nulls last) = 1), st as (select id, properties from graph_nodes where valid_to is null qualify row_number() over (partition by id order by valid_from desc nulls last, loaded_at desc nulls last) = 1),
 f as (select p.id, k.key, case when regexp_replace(p.properties[k.key], '\s+', '', 'g') <> '' then p.properties[k.key] end as old, case when regexp_replace(st.properties[k.key], '\s+', '', 'g') <> '' then st.properties[k.key] end as new from p left join st on st.id = p.id cross join (select unnest(['name', 'city', 'status']) as key) k),
 c as (select id, bool_or(new is not null and new is distinct from old) as changed from f group by id)
 select f.id, key, coalesce(new, old) as value, 'current' as version from f where coalesce(new, old) is not null union all select f.id, key, old, 'previous' from f join c on c.id = f.id where c.changed and old is not null""",
 )
 def clu_production_merge(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    production = table(spark, d, "production_nodes").select("id", "properties")
-    # The production graph is small and fixed: its nodes are paired with the first nodes of the staging graph by number.
-    numbered = production.select("id", F.row_number().over(Window.orderBy("id")).alias("n"))
-    active = latest_versions(table(spark, d, "graph_nodes").where("valid_to is null")).select("id", "properties").orderBy("id").limit(1000)
-    staged = active.select("properties", F.row_number().over(Window.orderBy("id")).alias("n")).join(numbered, "n").select("id", "properties")
-    return er.production_merge(production, staged, ["name", "city", "status"])
+    nodes = table(spark, d, "graph_nodes")
+    # Each node's first version is in production, its latest active one is staged.
+    first = nodes.groupBy("id").agg(F.min_by("properties", F.struct(F.coalesce("valid_from", F.lit("9999-12-31").cast("timestamp_ntz")), F.coalesce("loaded_at", F.lit("9999-12-31").cast("timestamp_ntz")))).alias("properties"))
+    return er.production_merge(first, latest_versions(nodes.where("valid_to is null")).select("id", "properties"), ["name", "city", "status"])
 
 
 @query("clu_gap_chunks", "with c as (select distinct transform_id, unnest(provenance.chunk_ids) as chunk from graph_nodes), g as (select distinct transform_id, id as gap_id, provenance.chunk_ids[1] as chunk from graph_nodes where coalesce(trim(properties['city']), '') = '') select transform_id, chunk, gap_id from g where chunk is not null union select g.transform_id, c.chunk, gap_id from g join c on c.transform_id = g.transform_id where g.chunk is null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import identity, text
 from weftgraph.operators import claims as claim_ops
 from weftgraph.operators import graph, versioning
-from weftgraph.operators.snapshot_diff import BOOKKEEPING_KEYS
+from weftgraph.operators.snapshot_diff import BOOKKEEPING_KEYS, transform_pairs
 from weftgraph.registry import query
 from weftgraph.sources import table
 
@@ -384,14 +384,20 @@ def set_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "set_property_conflicts",
-    r"""with s as (select id, properties from node_snapshots where seq_no = 2 qualify row_number() over (partition by id order by loaded_at desc) = 1), p as (select id, properties from node_snapshots where seq_no = 1 qualify row_number() over (partition by id order by loaded_at desc) = 1),
-f as (select s.id, k.key as key, regexp_replace(s.properties[k.key], '^\s+|\s+$', '', 'g') as a, regexp_replace(p.properties[k.key], '^\s+|\s+$', '', 'g') as b from s join p on p.id = s.id cross join (select unnest(['name', 'city', 'status', 'year', 'ceo', 'publisher']) as key) k)
-select id, key, case when b is null then 'new' when a is null then 'deleted' else 'differs' end as kind from f where a is distinct from b""",
+    r"""with o as (select * from node_snapshots where user_id is not null and transform_id is not null and id is not null qualify row_number() over (partition by user_id, transform_id, id order by loaded_at desc) = 1),
+pairs as (select user_id, transform_id, lag(transform_id) over (partition by user_id order by seq_no, transform_id) as before from (select user_id, transform_id, max(seq_no) as seq_no from node_snapshots where user_id is not null and id is not null and transform_id is not null and seq_no is not null group by all)),
+f as (select s.transform_id, s.id, k.key as key, regexp_replace(s.properties[k.key], '^\s+|\s+$', '', 'g') as a, regexp_replace(p.properties[k.key], '^\s+|\s+$', '', 'g') as b from pairs q join o s on s.user_id = q.user_id and s.transform_id = q.transform_id
+join o p on p.user_id = q.user_id and p.transform_id = q.before and p.id = s.id cross join (select unnest(['name', 'city', 'status', 'year', 'ceo', 'publisher']) as key) k)
+select transform_id, id, key, case when b is null then 'new' when a is null then 'deleted' else 'differs' end as kind from f where a is distinct from b""",
 )
 def set_property_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    snap = table(spark, d, "node_snapshots")
-    side = lambda n: graph.latest_rows(snap.where(F.col("seq_no") == n))
-    return versioning.property_conflicts(side(2), side(1), ONTOLOGY_KEYS).select("id", "key", "kind")
+    snap = table(spark, d, "node_snapshots").where("user_id is not null and transform_id is not null and id is not null")
+    one = graph.latest_rows(snap.withColumn("_at", F.struct("user_id", "transform_id", "id")), "_at")
+    # Each transform stages against the one before it of its user.
+    pairs = transform_pairs(snap).where("before is not null").select("user_id", "transform_id", "before")
+    staging = one.join(pairs, ["user_id", "transform_id"]).select(F.struct("user_id", "transform_id", "id").alias("at"), "properties")
+    production = one.withColumnRenamed("transform_id", "before").join(pairs, ["user_id", "before"]).select(F.struct("user_id", "transform_id", "id").alias("at"), "properties")
+    return versioning.property_conflicts(staging, production, ONTOLOGY_KEYS, "at").select("at.transform_id", "at.id", "key", "kind")
 
 
 @query(

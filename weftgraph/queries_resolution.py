@@ -37,17 +37,25 @@ def blk_methods(spark: SparkSession, d: str) -> DataFrame:
     return own.select("id", resolution.method_keys(p["name"], "first_n_chars").alias("prefix"), resolution.method_keys(p["name"], "suffix").alias("suffix"), resolution.method_keys(p["birth_year"], "numeric_bucket").alias("decade")).distinct()
 
 
+_ASKED = "('0x' || substr(md5(id), 1, 6))::bigint % 100 = 0"
+
+
+def _asked(column: str = "id") -> Column:
+    """The stated query set: a hundredth of the ids, told by their digest."""
+    return F.conv(F.substring(F.md5(column), 1, 6), 16, 10).cast("bigint") % 100 == 0
+
+
 @query(
     "blk_rule_pairs",
-    r"""with r as (select distinct user_id || '|' || id as id, user_id, lower(trim(properties['name'])) as nm, properties['city'] || properties['birth_year'] as ctx from expected_nodes where type = 'Person' and id is not null),
-k as (select id, 0 as rule, user_id || nm as value from r union select id, 1, user_id || ctx from r)
-select a.id as a, b.id as b, min(a.rule) as rule from k a join k b on a.rule = b.rule and a.value = b.value and a.id < b.id where a.value <> '' group by a.id, b.id""",
+    f"""with r as (select distinct user_id || '|' || id as id, {_ASKED} as q, user_id, lower(trim(properties['name'])) as nm, properties['city'] || properties['birth_year'] as ctx from expected_nodes where id is not null and user_id is not null),
+k as (select id, q, 0 as rule, user_id || nm as value from r union select id, q, 1, user_id || ctx from r)
+select a.id as a, b.id as b, min(a.rule) as rule from k a join k b on a.rule = b.rule and a.value = b.value and a.id <> b.id where a.q and a.value <> '' group by a.id, b.id""",
 )
 def blk_rule_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("properties")
-    own = table(spark, d, "expected_nodes").where("type = 'Person' and id is not null")
+    own = table(spark, d, "expected_nodes").where("id is not null and user_id is not null").withColumn("_asked", _asked())
     rules = [F.concat("user_id", F.lower(F.trim(p["name"]))), F.concat("user_id", p["city"], p["birth_year"])]
-    return resolution.rule_pairs(own.withColumn("id", F.concat_ws("|", "user_id", "id")), rules)
+    return resolution.rule_pairs(own.withColumn("id", F.concat_ws("|", "user_id", "id")), rules, F.col("_asked"))
 
 
 @query(
@@ -91,30 +99,27 @@ def _ascii(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), "[^ -~]", "?")
 
 
-@query(
-    "sim_edit_distance",
-    """with r as (select distinct id, user_id, regexp_replace(lower(trim(properties['name'])), '[^ -~]', '?', 'g') as nm, properties['affiliation'] as aff from expected_nodes where type = 'Person' and properties['affiliation'] is not null and trim(properties['name']) <> '')
-select a.id as a, b.id as b, levenshtein(a.nm, b.nm) as distance from r a join r b on a.user_id = b.user_id and a.aff = b.aff and a.id < b.id where levenshtein(a.nm, b.nm) < 5 group by all""",
-)
-def sim_edit_distance(spark: SparkSession, d: str) -> DataFrame:
+_TYPED = f"""r as (select distinct id, user_id, type, {_ASKED} as q, regexp_replace(lower(trim(properties['name'])), '[^ -~]', '?', 'g') as nm, properties['affiliation'] as aff, properties['city'] as c, properties['birth_year'] as y from expected_nodes where id is not null and user_id is not null and type is not null and trim(properties['name']) <> ''),
+p as (select a.id as a, b.id as b, a.nm as na, b.nm as nb, a.c as ca, b.c as cb, a.y as ya, b.y as yb from r a join r b on a.q and a.user_id = b.user_id and a.type = b.type and a.id <> b.id)"""
+
+
+def _typed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The names of the query set beside all names of their user and type."""
     p = F.col("properties")
-    r = table(spark, d, "expected_nodes").where("type = 'Person'").select("id", "user_id", _ascii(p["name"]).alias("nm"), p["affiliation"].alias("aff")).where("nm <> '' and aff is not null").distinct()
-    b = r.select("user_id", "aff", F.col("id").alias("b"), F.col("nm").alias("nm_b"))
-    met = r.join(b, ["user_id", "aff"]).where("id < b")
-    return met.select(F.col("id").alias("a"), "b", F.levenshtein("nm", "nm_b").alias("distance")).where("distance < 5").distinct()
+    cols = {"nm": _ascii(p["name"]), "aff": p["affiliation"], "c": p["city"], "y": p["birth_year"]}
+    r = table(spark, d, "expected_nodes").where("id is not null and user_id is not null and type is not null").select("id", "user_id", "type", _asked().alias("q"), *(c.alias(k) for k, c in cols.items())).where("nm <> ''").distinct()
+    return resolution.query_pairs(r, ["user_id", "type"], F.col("q")).where("id_a <> id_b").withColumnsRenamed({"id_a": "a", "id_b": "b"})
 
 
-@query(
-    "sim_jaro_winkler",
-    """with r as (select distinct id, user_id, regexp_replace(lower(trim(properties['name'])), '[^ -~]', '?', 'g') as nm, properties['affiliation'] as aff from expected_nodes where type = 'Person' and properties['affiliation'] is not null and trim(properties['name']) <> '')
-select a.id as a, b.id as b, round(jaro_winkler_similarity(a.nm, b.nm), 5) as score from r a join r b on a.user_id = b.user_id and a.aff = b.aff and a.id < b.id group by all""",
-)
+@query("sim_edit_distance", f"with {_TYPED} select distinct a, b, levenshtein(na, nb) as distance from p where levenshtein(na, nb) < 5")
+def sim_edit_distance(spark: SparkSession, d: str) -> DataFrame:
+    met = resolution.edit_and_sound(_typed_pairs(spark, d), "nm_a", "nm_b")
+    return met.where("distance is not null").select("a", "b", F.col("distance").cast("bigint").alias("distance")).distinct()
+
+
+@query("sim_jaro_winkler", f"with {_TYPED} select distinct a, b, round(jaro_winkler_similarity(na, nb), 5) as score from p where round(jaro_winkler_similarity(na, nb), 5) >= 0.8")
 def sim_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("properties")
-    r = table(spark, d, "expected_nodes").where("type = 'Person'").select("id", "user_id", _ascii(p["name"]).alias("nm"), p["affiliation"].alias("aff")).where("nm <> '' and aff is not null").distinct()
-    b = r.select("user_id", "aff", F.col("id").alias("b"), F.col("nm").alias("nm_b"))
-    met = r.join(b, ["user_id", "aff"]).where("id < b")
-    return met.select(F.col("id").alias("a"), "b", F.round(resolution.jaro_winkler(F.col("nm"), F.col("nm_b")), 5).alias("score")).distinct()
+    return _typed_pairs(spark, d).select("a", "b", F.round(resolution.jaro_winkler(F.col("nm_a"), F.col("nm_b")), 5).alias("score")).where("score >= 0.8").distinct()
 
 
 _LEVELS = {"g_name": ((0.9, 0.08, 0.02), (0.01, 0.09, 0.9)), "g_city": ((0.8, 0.2), (0.1, 0.9)), "g_year": ((0.85, 0.15), (0.02, 0.98))}
@@ -123,20 +128,14 @@ _WEIGHT_SQL = " + ".join("coalesce([" + ", ".join(repr(math.log2(a / b)) for a,
 
 @query(
     "sim_match_weight",
-    f"""with r as (select distinct id, user_id, regexp_replace(lower(trim(properties['name'])), '[^ -~]', '?', 'g') as nm, properties['affiliation'] as aff, properties['city'] as c, properties['birth_year'] as y from expected_nodes where type = 'Person' and properties['affiliation'] is not null and trim(properties['name']) <> ''),
-g as (select a.id as a, b.id as b, case when a.nm = b.nm then 0 when levenshtein(a.nm, b.nm) <= 2 then 1 else 2 end as g_name, case when a.c = b.c then 0 when a.c <> b.c then 1 end as g_city, case when a.y = b.y then 0 when a.y <> b.y then 1 end as g_year
-from r a join r b on a.user_id = b.user_id and a.aff = b.aff and a.id < b.id), w as (select *, {_WEIGHT_SQL} as weight from g)
-select distinct a, b, round(weight, 5) as weight, round((pow(2, weight) * {0.01 / 0.99!r}) / (1 + pow(2, weight) * {0.01 / 0.99!r}), 5) as probability from w""",
+    f"""with {_TYPED}, g as (select a, b, case when na = nb then 0 when levenshtein(na, nb) <= 2 then 1 else 2 end as g_name, case when ca = cb then 0 when ca <> cb then 1 end as g_city, case when ya = yb then 0 when ya <> yb then 1 end as g_year from p), w as (select *, {_WEIGHT_SQL} as weight from g)
+select distinct a, b, round(weight, 5)::double as weight, round((pow(2, weight) * {0.01 / 0.99!r}) / (1 + pow(2, weight) * {0.01 / 0.99!r}), 5) as probability from w where round(weight, 5) > 0""",
 )
 def sim_match_weight(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("properties")
-    cols = {"nm": _ascii(p["name"]), "aff": p["affiliation"], "c": p["city"], "y": p["birth_year"]}
-    r = table(spark, d, "expected_nodes").where("type = 'Person'").select("id", "user_id", *(c.alias(k) for k, c in cols.items())).where("nm <> '' and aff is not null").distinct()
-    b = r.select("user_id", "aff", F.col("id").alias("b"), *(F.col(k).alias(f"{k}_b") for k in ("nm", "c", "y")))
-    met = r.join(b, ["user_id", "aff"]).where("id < b")
-    same = lambda k: F.when(F.col(k) == F.col(f"{k}_b"), 0).when(F.col(k) != F.col(f"{k}_b"), 1)
-    gammas = met.select(F.col("id").alias("a"), "b", F.when(F.col("nm") == F.col("nm_b"), 0).when(F.levenshtein("nm", "nm_b") <= 2, 1).otherwise(2).alias("g_name"), same("c").alias("g_city"), same("y").alias("g_year"))
-    w = gammas.withColumn("weight", resolution.match_weight(_LEVELS))
+    same = lambda k: F.when(F.col(f"{k}_a") == F.col(f"{k}_b"), 0).when(F.col(f"{k}_a") != F.col(f"{k}_b"), 1)
+    near = F.levenshtein("nm_a", "nm_b", 2) >= 0
+    gammas = _typed_pairs(spark, d).select("a", "b", F.when(F.col("nm_a") == F.col("nm_b"), 0).when(near, 1).otherwise(2).alias("g_name"), same("c").alias("g_city"), same("y").alias("g_year"))
+    w = gammas.withColumn("weight", resolution.match_weight(_LEVELS)).where(F.round("weight", 5) > 0)
     return w.select("a", "b", F.round("weight", 5).alias("weight"), F.round(resolution.match_probability(F.col("weight"), 0.01), 5).alias("probability")).distinct()
 
 

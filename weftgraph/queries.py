@@ -111,4 +111,4 @@ for _match in references.MATCHES:
     query(f"p4_{_match}", _typed_orphans_sql(_match))(_typed_orphans(_match))
 
 
-from weftgraph import queries_cascade, queries_edges, queries_entities, queries_graph, queries_quality, queries_resolution, queries_rules, queries_text  # noqa: E402,F401
+from weftgraph import queries_cascade, queries_edges, queries_entities, queries_graph, queries_quality, queries_reports, queries_resolution, queries_rules, queries_text  # noqa: E402,F401

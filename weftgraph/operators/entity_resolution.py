@@ -85,23 +85,46 @@ class ComparisonRule:
     u: tuple[float, ...]
 
 
-# The comparison of each kind of data, its thresholds, and the chance of each level among matches and others.
-COMPARISONS: dict[str, tuple[str, tuple[float, ...], tuple[float, ...], tuple[float, ...]]] = {
-    "identifier": ("exact", (1.0,), (0.95, 0.05), (0.01, 0.99)), "integer": ("numeric", (0.0, 2.0), (0.9, 0.07, 0.03), (0.05, 0.1, 0.85)), "number": ("numeric", (0.0, 2.0), (0.9, 0.07, 0.03), (0.05, 0.1, 0.85)),
-    "date": ("date", (0.0, 1.0), (0.9, 0.07, 0.03), (0.02, 0.05, 0.93)), "string": ("jaro_winkler", (0.95, 0.85), (0.8, 0.15, 0.05), (0.05, 0.15, 0.8)), "text": ("cosine", (0.95, 0.85, 0.7), (0.7, 0.15, 0.1, 0.05), (0.02, 0.08, 0.2, 0.7)),
-    "phone": ("suffix", (1.0,), (0.95, 0.05), (0.01, 0.99)),
-}
+# The chances of each level of agreement among matches (m) and among others (u), by kind of data.
+PRIORS: dict[str, tuple[tuple[float, ...], tuple[float, ...]]] = {
+    "identifier": ((0.97, 0.03), (0.02, 0.98)),
+    "email": ((0.95, 0.05), (0.03, 0.97)),
+    "number": ((0.90, 0.10), (0.05, 0.95)),
+    "integer": ((0.90, 0.10), (0.05, 0.95)),
+    "float": ((0.85, 0.15), (0.10, 0.90)),
+    "date": ((0.90, 0.10), (0.05, 0.95)),
+    "datetime": ((0.90, 0.10), (0.05, 0.95)),
+    "string": ((0.85, 0.10, 0.04, 0.01), (0.05, 0.10, 0.15, 0.70)),
+    "text": ((0.80, 0.12, 0.05, 0.03), (0.10, 0.15, 0.20, 0.55)),
+    "url": ((0.92, 0.08), (0.08, 0.92)),
+    "phone": ((0.93, 0.07), (0.07, 0.93)),
+    "boolean": ((0.99, 0.01), (0.50, 0.50)),
+    "list": ((0.80, 0.15, 0.05), (0.20, 0.30, 0.50)),
+}
+UNKNOWN_PRIOR = ((0.82, 0.18), (0.12, 0.88))
+# Thresholds of graded comparisons, and the comparison of each kind that is graded.
+GRADES = (0.95, 0.85, 0.70)
+GRADED = {"string": "jaro_winkler", "text": "cosine"}
+
+
+def two_levels(levels: tuple[float, ...]) -> tuple[float, ...]:
+    """Agreement or not: all levels below the first as one."""
+    return (levels[0], sum(levels[1:]))
 
 
 def comparison_rules(properties: Mapping[str, Mapping[str, Any]]) -> list[ComparisonRule]:
-    """One comparison for each property, an identifier's overriding its type's."""
+    """One comparison for each property, heaviest first: graded for strings and texts, exact for all else; an identifier's
+    chances override its kind's."""
     out = []
     for p, d in properties.items():
         d = d or {}
-        kind = "identifier" if d.get("is_identifier") or d.get("unique") else kind_of(d)
-        method, thresholds, m, u = COMPARISONS[kind]
-        out.append(ComparisonRule(p, method, thresholds, float(d.get("matching_weight", 1.0)), m, u))
-    return out
+        declared = str(d.get("type", "string")).lower()
+        kind = declared if declared in PRIORS else kind_of(d)
+        graded = kind in GRADED and not d.get("is_identifier")
+        m, u = PRIORS["identifier"] if d.get("is_identifier") else PRIORS.get(kind, UNKNOWN_PRIOR)
+        weight = float(d.get("matching_weight", 1.0))
+        out.append(ComparisonRule(p, GRADED[kind], GRADES, weight, m, u) if graded else ComparisonRule(p, "exact", (1.0,), weight, two_levels(m), two_levels(u)))
+    return sorted(out, key=lambda r: -r.weight)
 
 
 def rule_groups(nodes: DataFrame, rules: Sequence[BlockingRule], within: Sequence[str] = ()) -> DataFrame:

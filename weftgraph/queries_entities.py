@@ -33,9 +33,9 @@ def blk_linkage_columns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(er.linkage_columns(PROPERTIES))), "place int, prop string")
 
 
-@query("sim_comparison_rules", "select * from (values ('name', 'jaro_winkler', 3), ('registry_id', 'exact', 2), ('founded', 'numeric', 3), ('city', 'jaro_winkler', 3), ('notes', 'cosine', 4), ('since', 'date', 3)) t(prop, method, levels)")
+@query("sim_comparison_rules", "select prop, method, levels, m0::double as m0, u0::double as u0 from (values ('name', 'jaro_winkler', 4, 0.85, 0.05), ('registry_id', 'exact', 2, 0.97, 0.02), ('founded', 'exact', 2, 0.90, 0.05), ('city', 'jaro_winkler', 4, 0.85, 0.05), ('notes', 'cosine', 4, 0.80, 0.10), ('since', 'exact', 2, 0.90, 0.05)) t(prop, method, levels, m0, u0)")
 def sim_comparison_rules(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(r.prop, r.method, len(r.m)) for r in er.comparison_rules(PROPERTIES)], "prop string, method string, levels int")
+    return spark.createDataFrame([(r.prop, r.method, len(r.m), r.m[0], r.u[0]) for r in er.comparison_rules(PROPERTIES)], "prop string, method string, levels int, m0 double, u0 double")
 
 
 @query(
